@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vertexloom.llm import contamination, exact, simhash
+from vertexloom.llm import contamination, exact, mixing, quality, simhash, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,15 +22,33 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mixing_plan(_read(spark, sf_dir, "documents"))
+    return mixing.in_training_order(plan.select("doc_id", "size", "source_size", "target", "taken", "position"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.benchmark_overlap(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality_verdicts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "perplexity", "threshold", "accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_mixing": op5_mixing,
     "op8_decontamination": op8_decontamination,
+    "op9_token_counts": op9_token_counts,
+    "op10_quality": op10_quality,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -42,4 +61,30 @@ SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept,
                sha256(norm) AS text_sha256
         FROM t""",
+    "op5_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, md5(coalesce(doc_id::varchar, '')) AS o,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size
+            FROM documents),
+        s AS (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY source),
+        r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
+        w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::double WHEN 1 THEN 2.0::double ELSE 1.0::double END AS weight,
+                     2 * source_size AS room, sum(source_size) OVER () AS all_size FROM r),
+        f AS (SELECT *, (all_size::double * 1.5::double - coalesce(sum(room) OVER (
+                             ORDER BY room / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double)
+                        / sum(weight) OVER (ORDER BY room / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l
+              FROM w),
+        t AS (SELECT source, source_size, rank, least(room::double, max(l) OVER () * weight) AS target FROM f),
+        p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.rank,
+                     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS b
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        k AS (SELECT *, greatest(least(round(target)::bigint - b, size), 0)
+                        + greatest(least(round(target)::bigint - source_size - b, size), 0) AS taken FROM p)
+        SELECT doc_id, size, source_size, target, taken::bigint AS taken,
+               CASE WHEN taken > 0 THEN CASE rank % 3
+                   WHEN 0 THEN (sqrt(2.25::double + -2.0::double * (b / target)) - 1.5::double) / -1.0::double
+                   WHEN 1 THEN b / target
+                   ELSE (sqrt(0.25::double + 2.0::double * (b / target)) - 0.5::double) / 1.0::double END END AS position
+        FROM k""",
 }
