@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vertexloom.llm import contamination, exact, mixing, quality, simhash, tokens
+from vertexloom.llm import contamination, exact, langid, licenses, mixing, pii, quality, simhash, tokens, urlrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,15 +18,33 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_read(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.url_verdicts(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(_read(spark, sf_dir, "documents"))
     return mixing.in_training_order(plan.select("doc_id", "size", "source_size", "target", "taken", "position"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "licenses", "n_notices", "notices")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.benchmark_overlap(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -44,8 +62,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_mixing": op5_mixing,
+    "op6_license_scan": op6_license_scan,
+    "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
@@ -87,4 +109,21 @@ SQL: dict[str, str] = {
                    WHEN 1 THEN b / target
                    ELSE (sqrt(0.25::double + 2.0::double * (b / target)) - 0.5::double) / 1.0::double END END AS position
         FROM k""",
+    "op4_url_filter": r"""
+        WITH s AS (
+            SELECT page_id, coalesce(url, '') AS url,
+                   CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM s),
+        p AS (SELECT page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+        rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                                  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        f AS (SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.v, length(r.h || r.p)) AS v
+              FROM p JOIN rules r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p) GROUP BY page_id)
+        SELECT p.page_id, host, path, f.rule,
+               coalesce(f.v, CASE WHEN regexp_matches(url, '\bspam-?\w*[.-]', 'i') OR regexp_matches(url, '\bspam-farm\b', 'i')
+                   OR regexp_matches(url, '\b(online-)?casino\b', 'i') OR regexp_matches(url, '\bporn\w*', 'i')
+                   OR regexp_matches(url, '[?&]redirect=https?:', 'i') OR regexp_matches(url, '\.exe([?#]|$)', 'i')
+                   THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p LEFT JOIN f USING (page_id)""",
 }
