@@ -40,9 +40,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     rounds for chains); each round is checkpointed.
     """
     a, b = edges.columns
-    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
-    nodes = cut(ends.select(F.col("u").alias("node")).unionByName(ends.select(F.col("v").alias("node"))).distinct())
-    links = cut(ends.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    ends = cut(
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull() & F.col(b).isNotNull())
+        .toDF("u", "v", "whole")
+        .filter("whole")
+        .select("u", "v")
+        .distinct()
+    )
+    nodes = ends.select(F.col("u").alias("node")).unionByName(ends.select(F.col("v").alias("node"))).distinct()
+    links = ends.filter("u <> v")
     state = None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
