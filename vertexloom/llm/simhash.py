@@ -305,7 +305,7 @@ def word_codes(text: Column, seeds: int) -> Column:
                 counts = np.array([len(base)])
                 codes = []
                 for k in range(1, seeds + 1):
-                    x = base + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k) if k else base
+                    x = base + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
                     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                     codes.append(majority(x ^ (x >> np.uint64(31)), counts)[0])
