@@ -190,7 +190,8 @@ class Traversal:
     def coalesce(self, *branches: Branch, per_vertex: bool = False) -> Traversal:
         """The last level of the first branch that gives any row: over all, or for each vertex before the last hop.
 
-        One pass: rows carry the number of their branch, and those of the least number stay.
+        One pass over the checkpointed branches: rows carry the number of theirs, and those of
+        the least number stay.
         """
         self = self._settled()
         return replace(self, frames=(*self.frames, (self.level + 1, _first(self._run(branches), per_vertex))))
@@ -300,7 +301,7 @@ Branch = Callable[[Traversal], Traversal]
 
 
 def _first(frames: list[DataFrame], per_vertex: bool) -> DataFrame:
-    rows = reduce(DataFrame.unionByName, [f.withColumn("branch", F.lit(n)) for n, f in enumerate(frames)])
+    rows = cut(reduce(DataFrame.unionByName, [f.withColumn("branch", F.lit(n)) for n, f in enumerate(frames)]))
     keys = ["prev_id"] if per_vertex else []
     least = rows.groupBy(*keys).agg(F.min("branch").alias("branch"))
     return rows.join(least, [*keys, "branch"], "left_semi").drop("branch").select(*frames[0].columns)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vertexloom.lineage import cut
 from vertexloom.operators.graph import Graph
 from vertexloom.operators.predicates import P
 from vertexloom.operators.traversal import Branch, Traversal
@@ -87,17 +88,18 @@ def communicated_after(graph: Graph, starts: DataFrame, window: str, scope: Scop
     Returns ``process_id, place_id, first_time, edge_id, other_id, event_time``.
     """
     start = Traversal(graph, starts.select("node_id").distinct())
-    times = graph.edges.select("edge_id", "event_time")
-    downloads = scope.hop(start, "out", "downloadedOn").last.join(times, "edge_id").select(F.col("prev_id").alias("process_id"), F.col("cur_id").alias("place_id"), "event_time")
-    children = scope.hop(start, "out", "childProcessOn").last.join(times, "edge_id")
-    onward = scope.hop(scope.hop(start, "out", "childProcessOn"), "out", "withIP").last.select(F.col("prev_id").alias("cur_id"), F.col("cur_id").alias("place_id"))
+    timed = lambda label: graph.labelled(scope.label(label)).select("edge_id", "event_time")
+    downloads = scope.hop(start, "out", "downloadedOn").last.join(timed("downloadedOn"), "edge_id").select(F.col("prev_id").alias("process_id"), F.col("cur_id").alias("place_id"), "event_time")
+    child = scope.hop(start, "out", "childProcessOn")
+    children = child.last.join(timed("childProcessOn"), "edge_id")
+    onward = scope.hop(child, "out", "withIP").last.select(F.col("prev_id").alias("cur_id"), F.col("cur_id").alias("place_id"))
     second = children.join(onward, "cur_id").select(F.col("prev_id").alias("process_id"), "place_id", "event_time")
-    both = downloads.withColumn("branch", F.lit(0)).unionByName(second.withColumn("branch", F.lit(1)))
+    both = cut(downloads.withColumn("branch", F.lit(0)).unionByName(second.withColumn("branch", F.lit(1))))
     first_branch = both.agg(F.min("branch").alias("branch"))
     places = both.join(first_branch, "branch", "left_semi")
     least = F.min("event_time").over(Window.partitionBy("process_id"))
-    first = places.withColumn("first_time", least).select("process_id", "place_id", "first_time").distinct()
-    talk = scope.hop(Traversal(graph, first.select(F.col("place_id").alias("node_id"))), "both", "IPsCommunicated").last.join(times, "edge_id")
+    first = cut(places.withColumn("first_time", least).select("process_id", "place_id", "first_time").distinct())
+    talk = scope.hop(Traversal(graph, first.select(F.col("place_id").alias("node_id"))), "both", "IPsCommunicated").last.join(timed("IPsCommunicated"), "edge_id")
     near = (F.col("event_time") >= F.col("first_time")) & (F.col("event_time") < F.col("first_time") + F.expr(f"INTERVAL {window}"))
     return first.join(talk, (F.col("place_id") == F.col("prev_id")) & near).select(
         "process_id", "place_id", "first_time", "edge_id", F.col("cur_id").alias("other_id"), "event_time"
