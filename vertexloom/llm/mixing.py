@@ -129,10 +129,13 @@ def mixing_plan(
     )
 
 
-def in_training_order(plan: DataFrame) -> DataFrame:
-    """The rows dealt into ranges of the training position and sorted by it; what is not taken comes last."""
-    position = F.col("position").asc_nulls_last()
-    return plan.repartitionByRange(position).sortWithinPartitions(position)
+def in_training_order(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows dealt into ranges of the training position and sorted by it; what is not taken comes last.
+
+    A hash of the id follows the position, so that the rows without one are dealt out too.
+    """
+    position, tie = F.col("position").asc_nulls_last(), F.xxhash64(id_col)
+    return plan.repartitionByRange(position, tie).sortWithinPartitions(position, tie)
 
 
 def curriculum(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -143,4 +146,4 @@ def curriculum(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     plan = mixing_plan(df.select(id_col, text_col, source_col, F.struct("*").alias("whole_row")), id_col, text_col, source_col)
     taken = plan.filter("taken > 0").select("whole_row.*", "taken", "position")
-    return in_training_order(taken)
+    return in_training_order(taken, id_col)
