@@ -48,7 +48,7 @@ class Traversal:
         """Keep vertices, or edges after an edge step, of which a value of the property passes."""
         if self.pending:
             if key in ("event_time", "source"):
-                return self._edge_filter(F.coalesce(matches(test)(F.col(key)), F.lit(False)))
+                return self._edge_filter(matches(test)(F.col(key)))  # a null is no match, and plain comparisons reach the scan
             return self._edge_filter(property_matches("properties", key, test))
         return self._vertex_filter(property_matches("properties", key, test))
 
@@ -79,9 +79,8 @@ class Traversal:
         return replace(self, pending=replace(self.pending, filters=(*self.pending.filters, condition)))
 
     def _vertex_filter(self, condition: Column) -> Traversal:
-        if not self.frames:
-            known = self.graph.vertices.filter(condition)
-            return replace(self, root=known if self.root is self.graph.vertices else self.root.join(known.select("node_id"), "node_id", "left_semi"))
+        if not self.frames and {"label", "properties"} <= set(self.root.columns):  # the root still has what is asked
+            return replace(self, root=self.root.filter(condition))
         return self._semi(self.graph.vertices.filter(condition).select("node_id"))
 
     def _keep(self, column: Column, test: P) -> Traversal:
