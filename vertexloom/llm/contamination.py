@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.lineage import cut
-from vertexloom.llm.common import arrow_batches, shield
+from vertexloom.llm.common import arrow_batches, release_memory, shield
 
 #: Consecutive item words that make a window.
 WINDOW = 13
@@ -214,6 +214,7 @@ def _overlaps(docs: DataFrame, automaton: SuffixAutomaton):  # noqa: ANN202
                 spans, items = sent.value.spans(words)
                 rows.append((len(words), sorted(items), [{"start": a, "end": b} for a, b in spans]))
             yield pd.DataFrame(rows, columns=["n_words", "items", "spans"])
+        release_memory()
 
     return of
 
