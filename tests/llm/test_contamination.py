@@ -74,3 +74,19 @@ def test_overlap_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert sorted((r.n_words, r.n_hit, r.contaminated) for r in contamination.benchmark_overlap(d, b).collect()) == [(0, 0, False), (2, 0, False), (2, 0, False)]
     assert contamination.benchmark_overlap(d.limit(0), b).collect() == []
+
+
+def test_spans_of_mixed_lengths_keep_every_hit_word(spark):
+    w = [f"w{i}" for i in range(20)]
+    items = [("a", " ".join(w[:13])), ("b", " ".join(w[14:17])), ("c", " ".join(w[7:20]))]
+    automaton = contamination.SuffixAutomaton([(n, contamination.words_of(t)) for n, t in items])
+    assert automaton.spans(contamination.words_of(" ".join(w)))[0] == [(0, 20)]
+    rnd = random.Random(8)
+    for _ in range(300):
+        line = [f"v{rnd.randrange(30)}" for _ in range(60)]
+        items = [(str(k), " ".join(line[a : a + rnd.choice((1, 2, 3, 6, 13, 15))])) for k, a in enumerate(rnd.sample(range(45), 8))]
+        automaton = contamination.SuffixAutomaton([(n, contamination.words_of(t)) for n, t in items])
+        spans, found = automaton.spans(contamination.words_of(" ".join(line)))
+        n_hit, n_items = reference(" ".join(line), items)[1:3]
+        assert (sum(b - a for a, b in spans), len(found)) == (n_hit, n_items)
+        assert spans == contamination._merged(spans)

@@ -122,7 +122,7 @@ class SuffixAutomaton:
                             if out and i - size <= out[-1][1]:
                                 a = i - size
                                 while len(out) > 1 and a <= out[-2][1]:
-                                    out.pop(-2)
+                                    a = min(a, out.pop(-2)[0])
                                 out[-1] = (min(a, out[-1][0]), i)
                             else:
                                 out.append((i - size, i))
