@@ -160,3 +160,42 @@ def test_near_duplicates_dropped_and_clean_kept(spark):
     assert len(kept & set(range(90)) - firsts) <= 3
     assert left.columns == ["doc_id", "text", "digest", "code", "id"]
     assert simhash.drop_near_duplicates(frame(spark, [])).collect() == []
+
+
+def test_near_duplicates_with_block_edits_match_brute_force(spark):
+    rnd = random.Random(11)
+    rows = []
+    for k in range(60):
+        base = [f"a{k}w{i}" for i in range(rnd.choice((40, 150, 400)))]
+        rows.append((10 * k, " ".join(base)))
+        block = [f"b{k}w{i}" for i in range(int(len(base) * (0.04, 0.1, 0.15, 0.22, 0.28)[k % 5]))]
+        at = (0, len(base) // 2, len(base))[k % 3]
+        rows.append((10 * k + 1, " ".join(base[:at] + block + base[at:])))
+        rows.append((10 * k + 2, " ".join(base[: len(base) - len(block)])))
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            common = len(sets[a] & sets[b])
+            if a < b and root[a] != root[b] and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    assert kept == {i for i, r in root.items() if i == r}
+
+
+def test_near_duplicate_pairs_of_frequent_shingles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SALT_ROWS", 5)
+    head = " ".join(f"h{i}" for i in range(100))
+    rows = [(k, head + " " + " ".join(f"t{k}x{i}" for i in range(9 + k % 9))) for k in range(40)]
+    rows += [(100 + k, f"{head} " + " ".join(f"u{k}x{i}" for i in range(300))) for k in range(20)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    joined = {0}
+    while more := {i for i in sets if i not in joined and any(alike(sets[i], sets[j]) for j in joined)}:
+        joined |= more
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    assert kept == set(sets) - joined | {0}

@@ -26,6 +26,13 @@ FANOUT = 8
 SERIES = 256
 #: Bits of each of the four blocks at the successive routing levels.
 BLOCK_BITS = (16, 12, 9)
+#: Documents, about, in which frequent shingles are sought, in how many of them a shingle must occur, and most of them.
+#: They only order the shingles, so that few texts meet under each; the pairs found do not depend on them.
+HOT_SAMPLE, HOT_COUNT, HOT_SHINGLES = 5000, 4, 100_000
+#: Texts under one shingle that are paired at once; the pairs of more are dealt to ``SALTS`` tasks.
+SALT_ROWS, SALTS = 2000, 16
+#: Longs of the parity sketch of a shingle set.
+SKETCH = 4
 
 
 # Fingerprints
@@ -325,6 +332,115 @@ def shingle_set(text: Column, size: int) -> Column:
     return of(text)
 
 
+def _hot_shingles(texts: DataFrame, size: int) -> np.ndarray:
+    """Shingles that occur in several of a bounded sample of ``id, text``, sorted."""
+    share = min(1.0, HOT_SAMPLE / max(texts.count(), 1))
+    drawn = texts.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 50)) < int((1 << 50) * share))
+    counted = drawn.select(F.explode(shingle_set(F.col("text"), size)).alias("key")).groupBy("key").count().filter(F.col("count") >= HOT_COUNT)
+    rows = counted.orderBy(F.desc("count"), "key").limit(HOT_SHINGLES).collect()
+    return np.sort(np.array([r.key for r in rows], np.int64))
+
+
+def _prints(texts: DataFrame, size: int, similarity: float, hot: np.ndarray) -> DataFrame:
+    """``id, n, same, sketch, keys`` of ``id, text``: number of shingles, digest and parity sketch of their set, and its prefix.
+
+    Shingles are ordered by hash, frequent ones last. Two sets of at least the wanted
+    similarity share a shingle among the first ``n - ceil(similarity * n) + 1`` of each. Each
+    shingle turns one bit of the sketch, so sketches differ in no more bits than sets do in
+    shingles. Texts without words are left out.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(hot)
+
+    @F.pandas_udf("struct<n:int,same:binary,sketch:array<long>,keys:array<long>>")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        last = sent.value
+        for texts in parts:
+            rows = []
+            for t in texts:
+                every = np.unique(shingle_hashes(t, size))
+                n = len(every)
+                bits = np.bincount(every.astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH).astype(np.uint8) & 1
+                keys = every.view(np.int64)
+                late = last[np.minimum(np.searchsorted(last, keys), len(last) - 1)] == keys if len(last) else np.zeros(n, bool)
+                keys = np.concatenate([keys[~late], keys[late]])[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                rows.append((n, xxhash.xxh3_128_digest(every.tobytes()), np.packbits(bits).view(np.int64), keys))
+            yield pd.DataFrame(rows, columns=["n", "same", "sketch", "keys"])
+        release_memory()
+
+    return texts.select("id", of("text").alias("p")).select("id", "p.*").filter("n > 0")
+
+
+def _prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """All distinct pairs ``a, b`` of ``id, n, sketch, keys, part`` that may be alike and are of two parts.
+
+    Rows meet under the shingles of their prefixes in one shuffle. Those under a shingle of
+    many are passed on and joined with salts, so that no task has all their pairs.
+    """
+    share = similarity / (1 + similarity)
+    kind = rows.schema["id"].dataType.simpleString()
+    columns = ["a", "b", "part", "key", "n", "pos"]
+
+    def pairs_of(held: pd.DataFrame) -> pd.DataFrame:
+        key, n, pos = (held[c].to_numpy(np.int64) for c in ("key", "n", "pos"))
+        ids, part = held["id"].to_numpy(), held["part"].to_numpy()
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.append(heads, len(key)))
+        size, offset = np.repeat(sizes, sizes), np.arange(len(key)) - np.repeat(heads, sizes)
+        many = np.flatnonzero(size > SALT_ROWS)
+        out = [pd.DataFrame({"a": ids[many], "b": ids[many], "part": part[many], "key": key[many], "n": n[many], "pos": pos[many]})]
+        i, step = np.flatnonzero((size > 1) & (size <= SALT_ROWS)), 1
+        while len(i):
+            i = i[offset[i] + step < size[i]]
+            j = i + step
+            # Texts are alike only if they share this many shingles, of which none come before the first one that they share.
+            least = share * (n[i] + n[j]) - 1e-6
+            ok = (part[i] != part[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least) & (np.minimum(n[i], n[j]) >= least)
+            x = ids[i[ok]]
+            out.append(pd.DataFrame({"a": x, "b": ids[j[ok]], "part": x, "key": 0, "n": 0, "pos": 0}))
+            step += 1
+        return pd.concat([o for o in out if len(o)] or out[:1])[columns]
+
+    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size, wait = 0, 20_000
+        for pdf in parts:
+            held.append(pdf)
+            size += len(pdf)
+            if size >= wait:
+                every = pd.concat(held)
+                key = every["key"].to_numpy()
+                whole = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+                if whole:
+                    yield pairs_of(every[:whole])
+                held, size = [every[whole:]], len(every) - whole
+                wait = 20_000 + 2 * size
+        if size:
+            yield pairs_of(pd.concat(held))
+        release_memory()
+
+    keyed = rows.select("id", "n", "part", F.posexplode("keys").alias("pos", "key")).repartition("key").sortWithinPartitions("key")
+    found = cut(keyed.mapInPandas(meet, f"a {kind}, b {kind}, part {kind}, key long, n int, pos int").distinct())
+    full = found.filter("n > 0")
+    left = full.select("key", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"), F.col("a").alias("id_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("part").alias("part_a"))
+    right = full.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("a").alias("id_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("part").alias("part_b"))
+    least = F.lit(share) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    met = left.join(right, ["key", "salt"]).filter(
+        (F.col("id_a") < F.col("id_b"))
+        & (F.col("part_a") != F.col("part_b"))
+        & (F.least("n_a", "n_b") >= least)
+        & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= least)
+    )
+    pairs = found.filter("n = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.unionByName(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).filter("a <> b").distinct()
+    sketches = rows.select("id", "n", "sketch")
+    apart = F.lit(0)
+    for i in range(SKETCH):
+        apart = apart + F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i]))
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-6
+    both = pairs.join(sketches.toDF("a", "n_a", "sketch_a"), "a").join(sketches.toDF("b", "n_b", "sketch_b"), "b")
+    return both.filter(apart <= most).select("a", "b")
+
+
 def drop_near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -336,12 +452,13 @@ def drop_near_duplicates(
     """Keep one row, that with the smallest id, of each group of rows with alike texts.
 
     Texts are alike if the Jaccard similarity of their sets of ``shingle``-word shingles is
-    at least ``similarity``. Candidates come from ``seeds`` independent 64-bit SimHash codes
-    of the distinct words, each searched at three bits by :func:`near_links`: at a similarity
-    of 0.8 about two words in a hundred differ, which moves one code by about four bits and
-    leaves one of twelve within three bits in over 99 cases of 100. Within a code, texts are
-    compared with the smallest id, and linked codes through theirs. Every candidate is then
-    confirmed on whole texts, so nothing is dropped for its fingerprint alone.
+    at least ``similarity``. A first pass takes candidates from ``seeds`` independent 64-bit
+    SimHash codes of the distinct words, each searched at three bits by :func:`near_links`;
+    within a code, texts are compared with the smallest id, and linked codes through theirs.
+    It joins most copies cheaply but misses pairs, such as those with an added block. A second
+    pass is exact: it takes every pair of texts that the first did not join and that share a
+    shingle of their prefixes (:func:`_prints`). Every candidate of either pass is confirmed
+    on whole texts, so nothing is dropped for its fingerprint alone and no alike pair is left.
 
     Returns the columns of ``df``. Defined cases: rows without words and rows with a null id
     stay; equal ids are one row's repeats and all stay; empty input gives no rows.
@@ -367,17 +484,31 @@ def drop_near_duplicates(
         linked.select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
     )
     pairs = cut(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    named = small(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = cut(
-        inner.withColumn("id", doc).join(named, "id", "left_semi").select("id", shingle_set(text, shingle).alias("shingles")).dropDuplicates(["id"])
-    )
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = (
-        pairs.join(sets.toDF("a", "sa"), "a")
-        .join(sets.toDF("b", "sb"), "b")
-        .filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common))
-        .select("a", "b")
-    )
-    parts = connected_components(alike)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        named = small(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        sets = cut(
+            inner.withColumn("id", doc).join(named, "id", "left_semi").select("id", shingle_set(text, shingle).alias("shingles")).dropDuplicates(["id"])
+        )
+        common = F.size(F.array_intersect("sa", "sb"))
+        return cut(
+            pairs.join(sets.toDF("a", "sa"), "a")
+            .join(sets.toDF("b", "sb"), "b")
+            .filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common))
+            .select("a", "b")
+        )
+
+    first = alike(pairs)
+    texts = inner.filter(doc.isNotNull()).select(doc.alias("id"), text.alias("text"))
+    prints = cut(_prints(texts, shingle, similarity, _hot_shingles(texts, shingle)))
+    # Equal sets are one: the others are linked to that of the smallest id and left out of the search.
+    least = prints.groupBy("same").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("same", "a")
+    equal = cut(prints.select("same", F.col("id").alias("b")).join(least, "same").filter("a <> b").select("a", "b").distinct())
+    linked = first.unionByName(equal)
+    parts = connected_components(linked).toDF("id", "component")
+    single = prints.join(small(equal.select(F.col("b").alias("id"))), "id", "left_anti")
+    rows = single.join(small(parts), "id", "left").withColumn("part", F.coalesce("component", "id")).select("id", "n", "sketch", "keys", "part")
+    second = alike(cut(_prefix_pairs(rows, similarity)))
+    parts = connected_components(linked.unionByName(second))
     gone = small(cut(parts.filter("node <> component").select(F.col("node").alias("id"))))
     return inner.withColumn("id", doc).join(gone, "id", "left_anti").select(*restored)
