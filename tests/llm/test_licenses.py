@@ -32,3 +32,26 @@ def test_planted_notices_are_found_and_others_are_not(spark):
     first = got[3].notices[0]
     assert rows[3][first.start : first.end].lower().startswith("licensed under the apache")
     assert licenses.scan_licenses(df.limit(0)).collect() == []
+
+
+def test_every_notice_of_a_list_is_found():
+    scanner = licenses.TemplateScanner()
+    rnd = random.Random(6)
+    every = sorted({name for name, _, _ in licenses.TEMPLATES})
+    for gap in (0, 3, 200):
+        notices = list(licenses.TEMPLATES)
+        rnd.shuffle(notices)
+        text = "\n".join(f"{notice}\n{plain(rnd, gap)}" for _, _, notice in notices)
+        found = scanner.scan(text)
+        assert sorted({f.license for f in found}) == every
+        assert sorted(f.license for f in found) == sorted(name for name, _, _ in notices)
+
+
+def test_headers_texts_and_tags():
+    scanner = licenses.TemplateScanner()
+    names = lambda text: [f.license for f in scanner.scan(text)]
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version {} of the License, or\n(at your option) any later version."
+    assert names(gpl.format(2)) == ["GPL-2.0"] and names(gpl.format(3)) == ["GPL-3.0"]
+    assert names(gpl.format(3).replace("General", "Lesser General").replace("program", "library")) == ["LGPL-3.0"]
+    assert names("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-or-later\ncode") == ["MIT", "Apache-2.0", "GPL-2.0"]
+    assert names("SPDX-License-Identifier: MIT-0\nReleased") == []

@@ -32,14 +32,23 @@ TEMPLATES = (
     ("MIT", "mit license", "Released under the MIT License."),
     ("MIT", "permission granted free charge", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "mozilla 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("GPL-2.0", "gnu general public 2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "gnu general public 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "affero 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "lesser 2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "lesser 3", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "redistributions source binary", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "redistributions source binary neither endorse", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "permission fee granted", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
 )
+#: Identifiers that an SPDX tag may name beside those of the templates.
+SPDX = {f"{n}{e}": n for n in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0") for e in ("-only", "-or-later", "+")}
+TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)")
 #: Words that tell licenses with much wording in common apart.
 TELLING = frozenset("affero lesser library by by-nc by-sa by-nd by-nc-sa by-nc-nd noncommercial sharealike 2-clause 3-clause 1.0 1.1 2 2.0 2.1 3 3.0 4.0".split())
-CUE = re.compile(r"licen[sc]|copyright|permission is hereby|public domain|\bcc0\b|\bcc by\b|\bgpl\b|\bspdx\b", re.I)
+CUE = re.compile(r"licen[sc]|copyright|permission (?:is hereby|to use)|redistributi|free software|public domain|\bcc0\b|\bcc by\b|\bgpl\b|\bspdx\b", re.I)
 #: Characters around a cue that belong to its block, and most of a block; longer ones are cut with this overlap.
 BEFORE, AFTER, BLOCK, OVERLAP = 200, 400, 4000, 400
-#: Templates that are compared word by word, best first.
-RANKED = 4
 #: Share of a template's words that a block must have, in order.
 COVERAGE = 0.8
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -81,6 +90,7 @@ class TemplateScanner:
             raw = zstandard.ZstdCompressionDict(notice.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.primed.append(zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_dict_id=False))
             self.words.append((name, frozenset(must.split()), _WORD.findall(notice.lower())))
+        self.tags = {spelled.lower(): name for spelled, name in [*((name, name) for name, _, _ in TEMPLATES), *SPDX.items()]}
 
     def confirm(self, k: int, begin: int, block: str, saved: int) -> list[Finding]:
         """Every place of the block whose wording is the template's, but for small differences."""
@@ -107,6 +117,15 @@ class TemplateScanner:
                 at = first + 1
         return out
 
+    def tagged(self, begin: int, block: str) -> list[Finding]:
+        """Every known identifier of the SPDX tags of the block."""
+        return [
+            Finding(self.tags[m.group()], begin + m.start(), begin + m.end(), 0, 0, 0)
+            for tag in TAG.finditer(block)
+            for m in re.compile(r"[a-z0-9.+-]+").finditer(block, *tag.span(1))
+            if m.group() in self.tags
+        ]
+
     def scan(self, text: str) -> list[Finding]:
         """Licenses of a text by place; where findings overlap, the one with most saved and least different stays."""
         found: list[Finding] = []
@@ -114,13 +133,11 @@ class TemplateScanner:
             lowered = "".join(c.lower() if c.isascii() else c for c in block)
             raw = lowered.encode("utf-8", "surrogatepass")
             alone = len(self.plain.compress(raw))
-            saved = [alone - len(c.compress(raw)) for c in self.primed]
-            ranked = sorted(range(len(saved)), key=lambda k: (-saved[k], k))
-            worth = [k for k in ranked if saved[k] > 0]
-            for i, k in enumerate(worth):
-                if i >= RANKED and found and saved[k] < saved[worth[RANKED - 1]]:
-                    break  # what saves less than the best ones is tried only if those found nothing
-                found += self.confirm(k, begin, lowered, saved[k])
+            here = set(_WORD.findall(lowered))
+            for k, (_, must, _) in enumerate(self.words):
+                if must <= here:  # only these can be confirmed
+                    found += self.confirm(k, begin, lowered, alone - len(self.primed[k].compress(raw)))
+            found += self.tagged(begin, lowered)
         out: list[Finding] = []
         for f in sorted(set(found), key=lambda f: (f.missing + f.added, f.start - f.end, -f.saved, f.license)):
             if all(f.end <= g.start or g.end <= f.start for g in out):
@@ -131,10 +148,11 @@ class TemplateScanner:
 def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Find license notices in every whole text.
 
-    Blocks around license words are compressed with zstandard, alone and with each template as
-    a raw dictionary; the templates that shrink a block most are compared with it word by
-    word, and a notice counts if its telling words are all there, none of another license's
-    stands between, and few words differ.
+    Every template whose telling words are all in a block around license words is compared
+    with it word by word, whatever else was found; a notice counts if no telling word of
+    another license stands between and few words differ. Zstandard compresses the block alone
+    and with the template as a raw dictionary, and the bytes saved rank findings that overlap.
+    SPDX tags give the known identifiers that they name.
 
     Returns the columns of ``df`` (those that clash with the new names give way) and
     ``licenses`` (distinct identifiers, sorted, comma-joined), ``n_notices`` long, ``notices``
