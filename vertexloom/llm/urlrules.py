@@ -22,82 +22,99 @@ HOST_RULES = (
     ("net", "/fr/", "block"),
 )
 #: Pattern rules (pattern, verdict) for urls that no host rule fits; the first that matches decides, else the url is allowed.
-#: Alternatives and optional parts hold no literal token that a match must have, so each pattern has one outside of them.
+#: Each has a literal that a match must hold as a whole token or as the beginning of one, so alternatives are rules of their own.
 PATTERN_RULES = (
     (r"\bspam-?\w*[.-]", "block"),
     (r"\bspam-farm\b", "block"),
-    (r"\b(?:online-)?casino\b", "block"),
+    (r"\bonline-casino\b", "block"),
+    (r"\bcasino\b", "block"),
     (r"\bporn\w*", "block"),
-    (r"[?&]redirect=https?:", "block"),
-    (r"\.exe(?:[?#]|$)", "block"),
+    (r"[?&]redirect=http:", "block"),
+    (r"[?&]redirect=https:", "block"),
+    (r"\.exe[?#]", "block"),
+    (r"\.exe$", "block"),
 )
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule: a pattern to search for, its verdict, and literal tokens of which a match must have each one whole."""
+    """A rule: a pattern to search for, its verdict, and the literals of which a match must hold each.
+
+    A match has each of ``tokens`` as a whole token, and a token that begins with each of
+    ``prefixes``.
+    """
 
     name: str | None
     pattern: str
     verdict: str
     tokens: tuple[str, ...]
+    prefixes: tuple[str, ...]
     order: tuple[int, int]
 
 
 def host_rules(rules: tuple[tuple[str, str, str], ...] = HOST_RULES) -> list[Rule]:
-    """Host rules as patterns over ``host``, a space and ``path``; longer ones come first."""
+    """Host rules as patterns over ``host`` and ``path``, which begins with a slash if there is one; longer ones come first."""
     out = []
     for host, path, verdict in rules:
-        pattern = rf"^(?:[^ ]*\.)?{re.escape(host)} {re.escape(path)}"
         # The path is a prefix: its last token may go on in the url unless something ends it.
         closed = path if not path[-1:].isalnum() else path[: -len(TOKEN.findall(path)[-1])]
         tokens = tuple(TOKEN.findall(host.lower())) + tuple(t.lower() for t in TOKEN.findall(closed))
-        out.append(Rule(host + path, pattern, verdict, tokens, (0, -len(host + path))))
+        out.append(Rule(host + path, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", verdict, tokens, (), (0, -len(host + path))))
     return sorted(out, key=lambda r: r.order)
 
 
-def _whole_tokens(pattern: str) -> tuple[str, ...]:
-    """Literal tokens between characters that end a token, outside groups and classes; none if there are no such."""
-    plain = re.sub(r"\\b", "\x00", pattern)
-    plain = re.sub(r"\((?:[^()\\]|\\.)*\)[?*+]?|\[(?:[^\]\\]|\\.)*\][?*+]?|\\[wdsWDS][?*+]*", "\x01", plain)
+def _literals(pattern: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Literal tokens of a pattern between characters that end a token, and literals that begin one which may go on."""
+    edge, open_ = "\x00", "\x01"  # what ends a token for sure, and what may be anything
+    plain = re.sub(r"\\b", edge, pattern)
+    plain = re.sub(r"\((?:[^()\\]|\\.)*\)[?*+]?|\\[wdsWDS][?*+]*", open_, plain)
+    plain = re.sub(r"\[([^\]\\A-Za-z0-9^-][^\]\\A-Za-z0-9-]*)\](?![?*])", edge, plain)
+    plain = re.sub(r"\[(?:[^\]\\]|\\.)*\][?*+]?", open_, plain)
+    plain = re.sub(r"(?<!\\)\.", open_, plain)
     plain = re.sub(r"\\(.)", r"\1", plain)
     if "|" in plain or "(" in plain or "{" in plain:
-        return ()
-    plain = re.sub(r".[?*]", "\x01", plain)
-    return tuple(t.lower() for t in re.findall(r"(?<![A-Za-z0-9\x01])([A-Za-z0-9]+)(?![A-Za-z0-9\x01+])", plain))
+        return (), ()
+    plain = re.sub(r"[A-Za-z0-9]\+", open_, re.sub(r".[?*]", open_, plain))
+    found = [(m.group().lower(), m.end() < len(plain) and plain[m.end()] != open_) for m in re.finditer(r"(?<=[^A-Za-z0-9\x01])[A-Za-z0-9]+", plain)]
+    return tuple(t for t, whole in found if whole), tuple(t for t, whole in found if not whole)
 
 
 def pattern_rules(rules: tuple[tuple[str, str], ...] = PATTERN_RULES) -> list[Rule]:
-    """Pattern rules, in order; they ignore case and come after all host rules."""
-    return [Rule(None, f"(?i){p}", verdict, _whole_tokens(p), (1, k)) for k, (p, verdict) in enumerate(rules)]
+    """Pattern rules, in order; they ignore the case of A-Z, their classes are ASCII, and they come after all host rules."""
+    return [Rule(None, f"(?ia){p}", verdict, *_literals(p), (1, k)) for k, (p, verdict) in enumerate(rules)]
 
 
 class RuleIndex:
-    """Rules under their rarest token; rules without one are tried on every url."""
+    """Rules under their rarest token, or under the beginning of one; ``always``: rules that have neither."""
 
     def __init__(self, rules: list[Rule], counts: dict[str, int]):
         self.compiled = [(r, re.compile(r.pattern)) for r in sorted(rules, key=lambda r: r.order)]
         self.by_token: dict[str, list[int]] = {}
+        self.by_prefix: dict[str, list[int]] = {}
         self.always: list[int] = []
         for i, (r, _) in enumerate(self.compiled):
             if r.tokens:
                 self.by_token.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(i)
+            elif r.prefixes:
+                self.by_prefix.setdefault(max(r.prefixes, key=lambda t: (len(t), t)), []).append(i)
             else:
                 self.always.append(i)
+        self.lengths = sorted({len(p) for p in self.by_prefix})
 
     def candidates(self, text: str) -> list[int]:
         """Numbers of the rules whose token is in ``text``, in order."""
         found = set(self.always)
-        for token in set(TOKEN.findall(text.lower())):
+        for token in {t.lower() for t in TOKEN.findall(text)}:
             found.update(self.by_token.get(token, ()))
+            for n in self.lengths:
+                found.update(self.by_prefix.get(token[:n], ()))
         return sorted(found)
 
     def decide(self, host: str, path: str, url: str) -> tuple[str | None, str]:
         """Name (for host rules) and verdict of the first candidate that matches."""
-        target = f"{host} {path}"
-        for i in self.candidates(f"{target} {url}"):
+        for i in self.candidates(f"{host}{path} {url}"):
             rule, pattern = self.compiled[i]
-            if pattern.search(target if rule.order[0] == 0 else url):
+            if pattern.search(host + path if rule.order[0] == 0 else url):
                 return rule.name, rule.verdict
         return None, "allow"
 
@@ -120,8 +137,8 @@ def url_verdicts(
     """Judge every url.
 
     How often the rules' tokens occur is counted over all urls, as a table of at most one row
-    for each such token; each rule is then indexed by its rarest. A url's tokens fetch the
-    rules to try, and only those run their regular expressions: host rules first, the longest
+    for each such token; each rule is then indexed by its rarest, or by a literal that begins
+    a token if it has no whole one. A url's tokens fetch the rules to try, and only those run their regular expressions: host rules first, the longest
     one that fits, then pattern rules, and ``allow`` if none matches.
 
     Returns the columns of ``df`` (those that clash with the new names give way) and ``host,
