@@ -69,6 +69,15 @@ def test_overlap_matches_brute_force(spark, monkeypatch, seed, limit, short):
     assert {r.doc_id for r in left.collect()} == {i for i, t in docs if not reference(t, items)[4]}
 
 
+def test_long_hits_are_cut_out(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = [(1, f"Before, {item.upper()}; after.", "p"), (2, "clean text", "q"), (3, None, "r"), (4, item, "s"), (5, "x " * 900 + " ".join(f"w{i}" for i in range(13)) + " y", "t")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, hit_spans string")
+    got = contamination.cut_long_hits(d, spark.createDataFrame([("a", item)], "item_id string, text string"))
+    assert got.columns == d.columns
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "Before, ; after.", 2: "clean text", 3: None, 4: "", 5: docs[4][1]}
+
+
 def test_overlap_empty_tables(spark):
     d = spark.createDataFrame([(1, "some words"), (1, "some words"), (None, None)], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -257,7 +258,50 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with their own columns and whole texts."""
+    """The documents that are not contaminated, with their own columns and whole texts.
+
+    Defined cases: as :func:`benchmark_overlap`; columns of any name stay as they are; null
+    texts have no words and stay; with an empty benchmark all stay.
+    """
     inner, _, restored = shield(docs)
     names = [f"in_{i}" for i in range(len(docs.columns))]
     return benchmark_overlap(inner, benchmark, id_col=names[0], text_col=names[docs.columns.index(text_col)]).filter("not contaminated").select(*restored)
+
+
+def without_hits(text: Column, spans: Column) -> Column:
+    """A text without the words of its ``hit_spans``, what stands between the words of a span included; null stays null."""
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for t, hits in zip(texts, found, strict=True):
+            if t is None or hits is None or not len(hits):
+                out.append(t)
+                continue
+            raw = t.encode("utf-8", "surrogatepass")
+            words = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_WORD_BYTES))]
+            kept, at = [], 0
+            for h in hits:
+                kept.append(raw[at : words[h["start"]][0]])
+                at = words[h["end"] - 1][1]
+            out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass"))
+        return pd.Series(out, dtype="object")
+
+    return of(text, spans)
+
+
+def cut_long_hits(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", longest: int = WINDOW, share: int = SHARE, **names: str
+) -> DataFrame:
+    """Documents with the spans cut out that are longer than ``longest`` words or of documents over the coverage limit.
+
+    The other way to treat contamination: nothing is dropped, ``text_col`` loses the spans.
+    Returns the columns of ``docs``. Defined cases: as :func:`benchmark_overlap`; a text of
+    which all words are hit keeps what is not a word.
+    """
+    inner, _, restored = shield(docs)
+    columns = [f"in_{i}" for i in range(len(docs.columns))]
+    text = columns[docs.columns.index(text_col)]
+    judged = benchmark_overlap(inner, benchmark, id_col=columns[0], text_col=text, share=share, **names)
+    over = F.filter("hit_spans", lambda s: F.col("contaminated") | (s["end"] - s["start"] > longest))
+    return judged.withColumn(text, without_hits(F.col(text), over)).select(*restored)
