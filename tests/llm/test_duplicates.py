@@ -87,6 +87,12 @@ def test_exact_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.text.lower()) for r in kept.collect()) == [(0, "b"), (1, "a"), (7, "c")]
 
 
+def test_exact_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a", "x", True), (2, "A", "y", False)], "doc_id long, text string, whole_row string, kept boolean")
+    kept = exact.drop_exact_duplicates(df)
+    assert kept.columns == df.columns and [(r.doc_id, r.whole_row, r.kept) for r in kept.collect()] == [(2, "y", False)]
+
+
 def test_exact_empty(spark):
     assert exact.exact_duplicates(frame(spark, [])).collect() == []
     assert exact.drop_exact_duplicates(frame(spark, [])).collect() == []

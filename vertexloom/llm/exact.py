@@ -76,6 +76,11 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with its own columns."""
-    marked = exact_duplicates(df.select("*", F.struct("*").alias("whole_row")), id_col, text_col)
-    return marked.filter("kept").select("whole_row.*")
+    """The rows of ``df`` that stay, one of each group of equal texts, with its own columns.
+
+    Defined cases: as :func:`exact_duplicates`; columns of any name stay as they are; null and
+    empty texts are one group, of which one row stays; empty input gives no rows.
+    """
+    inner, _, restored = shield(df)
+    names = [f"in_{df.columns.index(c)}" for c in (id_col, text_col)]
+    return exact_duplicates(inner, *names).filter("kept").select(*restored)
