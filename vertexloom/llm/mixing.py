@@ -84,13 +84,14 @@ def mixing_plan(
     The rows of a source stand in the order of a hash of their ids; the source's target is
     filled from that order, and from its start again up to ``repeats`` times. Running sums go
     by (source, bucket of the hash) and the buckets' sums by source, so a source of any size
-    is dealt out. A row's position is the time at which the source's demand, the integral of
-    its schedule, reaches the row's place in the order.
+    is dealt out. A row's position in a pass is the time at which the source's demand, the
+    integral of its schedule, reaches the row's place in the order, whole passes before it
+    counted.
 
     Returns the columns of ``df`` (those that clash with the new names give way) and ``size``
     (words), ``source_size, target`` (its source's), ``taken`` (words, repeats counted),
-    ``taken_by_pass`` (array, a pass each), ``position`` (0 to 1; of the first pass, null if
-    nothing is taken).
+    ``taken_by_pass`` (array, a pass each), ``positions`` (array, 0 to 1, null for a pass that
+    takes nothing).
 
     Defined cases: null texts have no words; a null source is a source, the last; rows that
     repeat an id stand together, smaller ones first; a source without words has target zero;
@@ -117,20 +118,22 @@ def mixing_plan(
     passes = [F.greatest(F.least(asked - F.col("source_size") * p - begin, F.col("size")), F.lit(0)) for p in range(repeats)]
     taken = sum(passes[1:], passes[0])
     shape = F.col("rank") % len(schedules)
-    done = begin / F.col("target")
-    time = F.lit(None).cast("double")
-    for k, schedule in enumerate(schedules):
-        time = F.when(shape == k, demand_time(schedule, done)).otherwise(time)
-    new = ["size", "source_size", "target", "taken", "taken_by_pass", "position"]
+    positions = []
+    for p, words in enumerate(passes):
+        done = (F.col("source_size") * p + begin) / F.col("target")
+        time = F.lit(None).cast("double")
+        for k, schedule in enumerate(schedules):
+            time = F.when(shape == k, demand_time(schedule, done)).otherwise(time)
+        positions.append(F.when(words > 0, time))
+    new = ["size", "source_size", "target", "taken", "taken_by_pass", "positions"]
     return placed.select(
         *[c for c, n in zip(restored, df.columns, strict=True) if n not in new],
-        "size", "source_size", "target", taken.alias("taken"), F.array(*passes).alias("taken_by_pass"),
-        F.when(taken > 0, time).alias("position"),
+        "size", "source_size", "target", taken.alias("taken"), F.array(*passes).alias("taken_by_pass"), F.array(*positions).alias("positions"),
     )
 
 
 def in_training_order(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows dealt into ranges of the training position and sorted by it; what is not taken comes last.
+    """The rows dealt into ranges of the training ``position`` and sorted by it; rows without one come last.
 
     A hash of the id follows the position, so that the rows without one are dealt out too.
     """
@@ -139,11 +142,22 @@ def in_training_order(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def curriculum(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the columns of ``df``, ``taken`` and ``position`` for each row that is taken, in training order.
+    """The mix itself in training order: a row for each pass over a row of ``df`` that takes words.
 
-    ``taken`` counts the words with repeats, so a row taken twice over is one row here with
-    twice its words.
+    Returns the columns of ``df`` (those that clash with the new names give way) and ``taken``
+    (words of this pass), ``pass`` (from 1) and ``position``. Defined cases: as
+    :func:`mixing_plan`; rows of which nothing is taken, those without words among them, are
+    left out; a row taken twice over is two rows with a position each; empty input gives no
+    rows.
     """
-    plan = mixing_plan(df.select(id_col, text_col, source_col, F.struct("*").alias("whole_row")), id_col, text_col, source_col)
-    taken = plan.filter("taken > 0").select("whole_row.*", "taken", "position")
-    return in_training_order(taken, id_col)
+    inner, _, restored = shield(df)
+    names = [f"in_{df.columns.index(c)}" for c in (id_col, text_col, source_col)]
+    plan = mixing_plan(inner, *names)
+    passes = F.posexplode(F.arrays_zip("taken_by_pass", "positions")).alias("nth", "p")
+    rows = plan.select(*inner.columns, passes).filter("p.taken_by_pass > 0")
+    new = ["taken", "pass", "position"]
+    ordered = in_training_order(rows.withColumn("position", F.col("p.positions")), names[0])
+    return ordered.select(
+        *[c for c, n in zip(restored, df.columns, strict=True) if n not in new],
+        F.col("p.taken_by_pass").alias("taken"), (F.col("nth") + 1).alias("pass"), "position",
+    )

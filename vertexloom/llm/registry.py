@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vertexloom.llm import contamination, exact, langid, licenses, mixing, pii, quality, simhash, tokens, urlrules
 
@@ -32,7 +33,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(_read(spark, sf_dir, "documents"))
-    return mixing.in_training_order(plan.select("doc_id", "size", "source_size", "target", "taken", "position"))
+    by_pass = [F.col("positions")[p].alias(name) for p, name in enumerate(("position", "second_position"))]
+    return mixing.in_training_order(plan.select("doc_id", "size", "source_size", "target", "taken", *by_pass))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,14 +103,19 @@ SQL: dict[str, str] = {
                      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size
                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS b
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-        k AS (SELECT *, greatest(least(round(target)::bigint - b, size), 0)
-                        + greatest(least(round(target)::bigint - source_size - b, size), 0) AS taken FROM p)
-        SELECT doc_id, size, source_size, target, taken::bigint AS taken,
-               CASE WHEN taken > 0 THEN CASE rank % 3
-                   WHEN 0 THEN (sqrt(2.25::double + -2.0::double * (b / target)) - 1.5::double) / -1.0::double
-                   WHEN 1 THEN b / target
-                   ELSE (sqrt(0.25::double + 2.0::double * (b / target)) - 0.5::double) / 1.0::double END END AS position
-        FROM k""",
+        k AS (SELECT *, greatest(least(round(target)::bigint - b, size), 0) AS first,
+                        greatest(least(round(target)::bigint - source_size - b, size), 0) AS second FROM p),
+        due AS (SELECT *, b / target AS d, (b + source_size) / target AS d2 FROM k)
+        SELECT doc_id, size, source_size, target, (first + second)::bigint AS taken,
+               CASE WHEN first > 0 THEN CASE rank % 3
+                   WHEN 0 THEN (sqrt(2.25::double + -2.0::double * d) - 1.5::double) / -1.0::double
+                   WHEN 1 THEN d
+                   ELSE (sqrt(0.25::double + 2.0::double * d) - 0.5::double) / 1.0::double END END AS position,
+               CASE WHEN second > 0 THEN CASE rank % 3
+                   WHEN 0 THEN (sqrt(2.25::double + -2.0::double * d2) - 1.5::double) / -1.0::double
+                   WHEN 1 THEN d2
+                   ELSE (sqrt(0.25::double + 2.0::double * d2) - 0.5::double) / 1.0::double END END AS second_position
+        FROM due""",
     "op4_url_filter": r"""
         WITH s AS (
             SELECT page_id, coalesce(url, '') AS url,
