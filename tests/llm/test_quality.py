@@ -12,16 +12,14 @@ from vertexloom.llm import quality
 SF = "/root/testdata/sf0.01"
 
 
-def reference(texts, size=64, order=4):
-    """Probability function of an interpolated modified Kneser-Ney model, from dictionaries."""
-    characters = Counter(c for t in texts for c in t)
-    known = sorted(characters, key=lambda c: (-characters[c], ord(c)))[: size - 2]
-    number = {c: i + 2 for i, c in enumerate(known)}
-    code = lambda t: [0] * (order - 1) + [number.get(c, 1) for c in t]
+def reference(texts, order=quality.ORDER):
+    """Log probabilities of an interpolated modified Kneser-Ney model, from dictionaries."""
+    size = len({c for t in texts for c in t}) + 1
     counts = {order: Counter()}
+    padded = lambda t: quality.BEGIN * (order - 1) + t
     for t in texts:
-        s = code(t)
-        counts[order].update(tuple(s[i - order + 1 : i + 1]) for i in range(order - 1, len(s)))
+        s = padded(t)
+        counts[order].update(s[i - order + 1 : i + 1] for i in range(order - 1, len(s)))
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
     tables = {}
@@ -45,37 +43,44 @@ def reference(texts, size=64, order=4):
         return ((v - d[min(v, 3) - 1]) if v else 0) / total[g[:-1]] + freed[g[:-1]] / total[g[:-1]] * p(g[1:])
 
     def logs(t):
-        s = code(t)
-        return [math.log(p(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s))]
+        s = padded(t)
+        return [math.log(p(s[i - order + 1 : i + 1])) for i in range(order - 1, len(s))]
 
     return logs
 
 
-def test_perplexity_matches_the_formulas(spark):
+def test_perplexity_matches_the_formulas(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BUCKET_BYTES", 40)  # several buckets
+    monkeypatch.setattr(quality, "TOGETHER", 2)
     texts = ["the cat sat on the mat. " * 3, "a cat and a hat, the end", "ünïcode là", "Zebra zoo", "x"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
     model = quality.fit(df)
     logs = reference(texts)
-    seen = [x for t in texts for x in logs(t)]
-    mean = sum(seen) / len(seen)
-    assert model.mean == pytest.approx(mean, rel=2e-3)
-    asked = [*texts, "unseen words 漢字", "the mat"]
-    probe = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
-    got = {r.doc_id: r.p for r in probe.select("doc_id", quality.perplexity(probe, model, probe["text"]).alias("p")).collect()}
-    for i, t in enumerate(asked):
-        x = logs(t)
-        assert got[i] == pytest.approx(math.exp(-(sum(x) + quality.PRIOR * mean) / (len(x) + quality.PRIOR)), rel=3e-3)
-
-
-def test_long_texts_are_scored_whole(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "abcd " * 400 + "zz")], "doc_id long, text string")
-    model = quality.fit(df)
-    whole = df.select(quality.perplexity(df, model, df["text"])).first()[0]
-    pieces = [(o.tolist(), c.tolist()) for o, c in quality._coded(["abcd " * 400 + "zz"], model.symbols)]  # noqa: SLF001
+    asked = [*texts, "unseen words 漢字", "the mat", "", None]
+    probe = spark.createDataFrame([(i, t) for i, t in enumerate(asked)] + [(0, texts[0])], "id long, text string")
+    got = {r.id: (r.log_p, r.length) for r in quality.scores(probe, model).collect()}
+    assert set(got) == set(range(len(texts) + 2))
+    for i, t in enumerate(asked[: len(got)]):
+        assert got[i] == (pytest.approx(sum(logs(t)), rel=1e-5), len(t))
+
+
+def test_many_characters_and_long_texts_are_coded_whole(monkeypatch):
+    text = "abcd " * 400 + "zz" + "".join(chr(0x4E00 + i) for i in range(5000))  # more characters than one integer can number
+
+    def spelled():
+        return [grams[k] for _, grams, number in quality.ngrams([text, "q"]) for k in number]
+
+    padded = [quality.BEGIN * 4 + text, quality.BEGIN * 4 + "q"]
+    expected = [s[i : i + 5] for s in padded for i in range(len(s) - 4)]
+    assert spelled() == expected
     monkeypatch.setattr(quality, "CHUNK", 37)
-    cut = [(o.tolist(), c.tolist()) for o, c in quality._coded(["abcd " * 400 + "zz"], model.symbols)]  # noqa: SLF001
-    assert [x for _, c in cut for x in c] == [x for _, c in pieces for x in c] and len(cut) > 10
-    assert whole > 1
+    assert spelled() == expected
+
+
+def test_without_trusted_text_nothing_is_known(spark):
+    nothing = spark.createDataFrame([], "id long, text string")
+    row = quality.scores(spark.createDataFrame([(1, "ab")], "id long, text string"), quality.fit(nothing)).first()
+    assert (row.log_p, row.length) == (0.0, 2)
 
 
 def test_clean_documents_are_kept_and_junk_goes(spark):
@@ -89,10 +94,10 @@ def test_clean_documents_are_kept_and_junk_goes(spark):
 
 def test_defined_cases(spark):
     rows = [(1, "plain text", "en", 5), (2, None, "en", 5), (3, "", None, 5), (4, "plain text", None, 5), (4, "plain text", None, 5), (5, "t" * 100_000, "xx", 5)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, threshold int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, threshold int")  # one column clashes
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (9, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.quality_verdicts(df, labels)
-    assert got.columns == ["doc_id", "text", "lang", "perplexity", "threshold", "accepted"]
+    assert got.columns == ["doc_id", "text", "lang", "perplexity", "score", "threshold", "accepted"]
     by = {r.doc_id: r for r in got.collect()}
     assert by[1].accepted and by[4].accepted and not by[2].accepted and by[3].perplexity is None
     assert quality.keep_accepted(df, labels).columns == df.columns

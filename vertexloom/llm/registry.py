@@ -59,7 +59,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_verdicts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "lang", "perplexity", "threshold", "accepted")
+    return judged.select("doc_id", "lang", "perplexity", "score", "threshold", "accepted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
