@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
-from vertexloom.operators.graph import Graph, adjacency, edges_of_adjacency, vertices_of_adjacency
+from vertexloom.operators import graph as graph_module
+from vertexloom.operators.graph import Graph, adjacency, degrees, edges_of_adjacency, vertices_of_adjacency
 from vertexloom.operators.predicates import P
 from vertexloom.operators.traversal import E, V, reachable
 from vertexloom.plans.investigations import Scope, communicated_after, investigate
@@ -122,12 +124,32 @@ def test_cases(spark, graph):
 def test_adjacency_round_trip(graph):
     rows = adjacency(graph)
     one = rows.filter("node_id = 5").first()
-    assert [e.edge_id for e in one.out_edges] == ["e10", "e5", "e7"] and one.in_vertices == [3, 5] and one.other_vertices == [3, 5, 7]
-    assert rows.filter("node_id = 8").first().both_edges == []
+    assert [e.edge_id for e in one.out_edges] == ["e10", "e5", "e7"] and sorted({e.other_id for e in one.in_edges}) == [3, 5]
+    alone = rows.filter("node_id = 8").first()
+    assert alone.out_edges == alone.in_edges == []
     assert sorted(map(tuple, edges_of_adjacency(rows).collect())) == sorted((r.edge_id, r.src_id, r.dst_id, r.label) for r in graph.edges.collect())
     assert vertices_of_adjacency(rows).count() == 8
 
 
+def test_hubs_have_several_rows(graph, monkeypatch):
+    whole = {r.node_id: r for r in degrees(graph).collect()}
+    monkeypatch.setattr(graph_module, "CHUNK_LINKS", 1)
+    rows = adjacency(graph)
+    assert rows.count() > 8 and vertices_of_adjacency(rows).count() == 8
+    assert {r.node_id: (r.o, r.i) for r in rows.groupBy("node_id").agg(F.sum(F.size("out_edges")).alias("o"), F.sum(F.size("in_edges")).alias("i")).collect()} == {n: (r.n_out, r.n_in) for n, r in whole.items()}
+    assert sorted(map(tuple, edges_of_adjacency(rows).collect())) == sorted((r.edge_id, r.src_id, r.dst_id, r.label) for r in graph.edges.collect())
+
+
+def test_steps_on_what_is_reached(graph):
+    t = V(graph).both()
+    reached = [r.cur_id for r in t.last.collect()]
+    assert sorted(r.cur_id for r in t.dedup().last.collect()) == sorted(set(reached))
+    assert t.count().first()[0] == len(reached) and V(graph).count().first()[0] == 8
+    assert [r.cur_id for r in t.order("cur_id", descending=True).limit(3).last.collect()] == sorted(reached, reverse=True)[:3]
+    assert [r.node_id for r in V(graph).order("node_id").limit(2).root.collect()] == sorted(r.node_id for r in graph.vertices.collect())[:2]
+    assert V(graph).dedup().count().first()[0] == 8
+
+
 def test_investigations(graph):
     starts = V(graph).with_label("user").root
     assert ids(investigate(graph, "user_clicked_url", starts, Scope(labels={"URLs": "URL"}))) == [("e8", "out", 1), ("e9", "out", 1)]

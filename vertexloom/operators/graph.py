@@ -36,34 +36,45 @@ def first_value(column: str, key: str) -> Column:
     return F.try_element_at(F.try_element_at(F.col(column), F.lit(key)), F.lit(1))
 
 
+#: Links in one nested row at most; a vertex with more has several rows.
+CHUNK_LINKS = 1000
+
+
+def _ends(graph: Graph) -> DataFrame:
+    """Each edge at both of its ends: ``node_id, side, other_id, edge_id, label``, in one pass."""
+    end = lambda node, side, other: F.struct(F.col(node).alias("node_id"), F.lit(side).alias("side"), F.col(other).alias("other_id"), "edge_id", "label")
+    return graph.edges.select(F.explode(F.array(end("src_id", "out", "dst_id"), end("dst_id", "in", "src_id"))).alias("e")).select("e.*")
+
+
+def degrees(graph: Graph) -> DataFrame:
+    """``node_id, label, n_out, n_in, n_out_vertices, n_in_vertices`` of every vertex.
+
+    Edges are first counted by (vertex, side, neighbour), so a hub is counted in many tasks.
+    """
+    pairs = _ends(graph).groupBy("node_id", "side", "other_id").agg(F.count("*").alias("n"))
+    of = lambda side, x: F.when(F.col("side") == side, x)
+    counted = pairs.groupBy("node_id").agg(
+        F.sum(of("out", F.col("n"))).alias("n_out"), F.sum(of("in", F.col("n"))).alias("n_in"),
+        F.count(of("out", F.lit(1))).alias("n_out_vertices"), F.count(of("in", F.lit(1))).alias("n_in_vertices"),
+    )
+    return graph.vertices.select("node_id", "label").join(counted, "node_id", "left").fillna(0, ["n_out", "n_in", "n_out_vertices", "n_in_vertices"])
+
+
 def adjacency(graph: Graph) -> DataFrame:
-    """A row for each vertex: its edges and neighbours on either side as sorted arrays.
+    """Nested rows ``node_id, chunk, label, out_edges, in_edges``: the links of each vertex, dealt to rows of about ``CHUNK_LINKS``.
 
-    Each edge is sent to both ends in one pass and gathered by vertex, so both sides cost one
-    shuffle. Meant for vertices whose degree a row can hold.
+    The number of a vertex's chunks follows from its degree and a link's chunk from its edge
+    id, so a hub has many rows instead of one that grows with the data. Vertices without edges
+    have one row with empty arrays.
     """
-    ends = graph.edges.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("src_id").alias("node_id"), F.lit("out").alias("side"), F.col("dst_id").alias("other_id"), "edge_id", "label"),
-                F.struct(F.col("dst_id").alias("node_id"), F.lit("in").alias("side"), F.col("src_id").alias("other_id"), "edge_id", "label"),
-            )
-        ).alias("e")
-    ).select("e.*")
-    link = F.struct("edge_id", "label", "other_id")
+    sizes = degrees(graph).select("node_id", "label", F.greatest(F.ceil((F.col("n_out") + F.col("n_in")) / CHUNK_LINKS), F.lit(1)).alias("chunks"))
+    dealt = _ends(graph).join(sizes.select("node_id", "chunks"), "node_id").withColumn("chunk", F.pmod(F.xxhash64("edge_id"), F.col("chunks")))
+    link = F.struct("edge_id", F.col("label"), "other_id")
     of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, link)))
-    gathered = ends.groupBy("node_id").agg(of("out").alias("out_edges"), of("in").alias("in_edges"))
-    ids = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda e: e["other_id"])))
+    gathered = dealt.groupBy("node_id", "chunk").agg(of("out").alias("out_edges"), of("in").alias("in_edges"))
     empty = F.array().cast("array<struct<edge_id:string,label:string,other_id:bigint>>")
-    return (
-        graph.vertices.select("node_id", "label")
-        .join(gathered, "node_id", "left")
-        .withColumns({c: F.coalesce(c, empty) for c in ("out_edges", "in_edges")})
-        .withColumn("both_edges", F.concat("out_edges", "in_edges"))
-        .withColumn("out_vertices", ids(F.col("out_edges")))
-        .withColumn("in_vertices", ids(F.col("in_edges")))
-        .withColumn("other_vertices", ids(F.col("both_edges")))
-    )
+    rows = sizes.drop("chunks").join(gathered, "node_id", "left")
+    return rows.select("node_id", F.coalesce("chunk", F.lit(0)).alias("chunk"), "label", *[F.coalesce(c, empty).alias(c) for c in ("out_edges", "in_edges")])
 
 
 def edges_of_adjacency(rows: DataFrame) -> DataFrame:

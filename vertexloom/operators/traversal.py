@@ -233,6 +233,36 @@ class Traversal:
         """Name the current level for :meth:`tagged`."""
         return replace(self, tags={**self.tags, tag: self.level})
 
+    # Steps on what is reached
+
+    def dedup(self) -> Traversal:
+        """Each reached vertex once: of the last level's rows to it that of the least edge."""
+        if not self.frames:
+            return replace(self, root=self.root.dropDuplicates(["node_id"]))
+        frame = self.last
+        rest = F.struct("edge_id", "direction", "prev_id", "lvl", "edge_label")
+        one = frame.groupBy("cur_id").agg(F.min(rest).alias("r")).select("cur_id", "r.*")
+        return self._with_last(one.select(*frame.columns))
+
+    def order(self, by: str = "cur_id", descending: bool = False) -> Traversal:
+        """The last level by one of its columns, or the root by one of its own; ties go by edge or vertex id."""
+        tie = "edge_id" if self.frames else "node_id"
+        turn = F.desc(by) if descending else F.asc(by)
+        ordered = lambda df: df.orderBy(turn, tie)
+        return self._with_last(ordered(self.last)) if self.frames else replace(self, root=ordered(self.root))
+
+    def limit(self, n: int) -> Traversal:
+        """The first ``n`` rows of the last level, as ordered before, or any."""
+        return self._with_last(self.last.limit(n)) if self.frames else replace(self, root=self.root.limit(n))
+
+    def count(self) -> DataFrame:
+        """``count``: rows of the last level, or of the root."""
+        return (self.last if self.frames else self.root).agg(F.count("*").alias("count"))
+
+    def group(self, *keys: str) -> DataFrame:
+        """Rows ``n`` of the last level for each value of the keys, columns of :meth:`project` ``basic``."""
+        return self.project("basic", self.last).groupBy(*keys).agg(F.count("*").alias("n"))
+
     # Results
 
     def levels(self, *only: int) -> DataFrame:
@@ -299,6 +329,11 @@ class Traversal:
 Branch = Callable[[Traversal], Traversal]
 
 
+def by(*choices: str) -> Column:
+    """The first of some columns that is not null; the last choice is a constant."""
+    return F.coalesce(*[F.col(c) for c in choices[:-1]], F.lit(choices[-1]))
+
+
 def _first(frames: list[DataFrame], per_vertex: bool) -> DataFrame:
     rows = cut(reduce(DataFrame.unionByName, [f.withColumn("branch", F.lit(n)) for n, f in enumerate(frames)]))
     keys = ["prev_id"] if per_vertex else []

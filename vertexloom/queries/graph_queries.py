@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.operators import graph as g
 from vertexloom.operators.predicates import P
-from vertexloom.operators.traversal import E, Traversal, V, reachable
+from vertexloom.operators.traversal import E, Traversal, V, by, reachable
 from vertexloom.plans import investigations as inv
 from vertexloom.sources.tables import SPAN, order_graph, read
 
@@ -203,22 +203,22 @@ def edge_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _two(spark, sf_dir)
     rows = t.properties().join(t.graph.edges.select("edge_id", "source"), "edge_id")
     quantity = g.first_value("edge_properties", "quantity").cast("bigint").alias("quantity")
-    return rows.select("src_id", "dst_id", "direction", "lvl", "edge_id", "edge_label", quantity, F.coalesce("source", F.lit("none")).alias("by_source"))
+    return rows.select("src_id", "dst_id", "direction", "lvl", "edge_id", "edge_label", quantity, by("source", "none").alias("by_source"))
 
 
 @_query(f"{_TWO}" + _hop("h3", "h2", 3, "out", "label = 'contains'") + " SELECT count(DISTINCT dst_id) AS count FROM h3")
 def count_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _two(spark, sf_dir).out("contains").last_level().select("dst_id").distinct().agg(F.count("*").alias("count"))
+    return _two(spark, sf_dir).out("contains").dedup().count()
 
 
 @_query(f"{_TWO} SELECT edge_id, dst_id FROM h2 ORDER BY dst_id DESC LIMIT 25")
 def limit_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _two(spark, sf_dir).last_level().select("edge_id", "dst_id").orderBy(F.desc("dst_id")).limit(25)
+    return _two(spark, sf_dir).order("cur_id", descending=True).limit(25).last_level().select("edge_id", "dst_id")
 
 
 @_query(" SELECT e.label AS edge_label, a.label AS src_label, b.label AS dst_label, count(*) AS n FROM e" + _ENDS + " GROUP BY ALL")
 def group_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E(order_graph(spark, sf_dir)).project("basic").groupBy("edge_label", "src_label", "dst_label").agg(F.count("*").alias("n"))
+    return E(order_graph(spark, sf_dir)).group("edge_label", "src_label", "dst_label")
 
 
 @_query(
@@ -337,11 +337,7 @@ QUERIES["reachability_both"] = reachability_both
     LEFT JOIN (SELECT dst_id, count(*) AS n, count(DISTINCT src_id) AS d FROM e GROUP BY dst_id) i ON i.dst_id = node_id"""
 )
 def adjacency_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = g.adjacency(order_graph(spark, sf_dir))
-    size = lambda c: F.size(c).cast("bigint")
-    return rows.select(
-        "node_id", "label", size("out_edges").alias("n_out"), size("in_edges").alias("n_in"), size("out_vertices").alias("n_out_vertices"), size("in_vertices").alias("n_in_vertices")
-    )
+    return g.degrees(order_graph(spark, sf_dir))
 
 
 @_query(" SELECT edge_id, src_id, dst_id, label FROM e")
