@@ -284,7 +284,15 @@ def quality_verdicts(
     character are accepted; repeated labels do no harm; repeated rows are judged alike; empty
     input gives no rows.
     """
-    inner, col, restored = shield(df)
+    _, _, restored = shield(df)
+    judged = _judged(df, labels, id_col, text_col, lang_col, quantile)
+    new = ["perplexity", "score", "threshold", "accepted"]
+    return judged.select(*[c for c, n in zip(restored, df.columns, strict=True) if n not in new], *new)
+
+
+def _judged(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float) -> DataFrame:
+    """Shielded columns, ``key_hash`` (of the text) and the verdict of every row."""
+    inner, col, _ = shield(df)
     doc, text = col(id_col), col(text_col)
     named = labels.filter("quality = 1 and toxic = 0").select(F.col("doc_id").alias("trusted_id")).dropna().distinct()
     named = named.withColumn("apart", F.pmod(F.xxhash64("trusted_id"), F.lit(HELD_OUT)) == 0)
@@ -317,8 +325,7 @@ def quality_verdicts(
         .withColumn("threshold", F.coalesce("limit", F.lit(overall.limit if overall else None).cast("double")))
     )
     accepted = F.col("score").isNotNull() & (F.col("threshold").isNull() | (F.col("score") <= F.col("threshold")))
-    new = ["perplexity", "score", "threshold", "accepted"]
-    return judged.select(*[c for c, n in zip(restored, df.columns, strict=True) if n not in new], "perplexity", "score", "threshold", accepted.alias("accepted"))
+    return judged.withColumn("accepted", accepted)
 
 
 def keep_accepted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -330,9 +337,8 @@ def keep_accepted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     the same, and go together otherwise.
     """
     inner, col, restored = shield(df)
-    asked = inner.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang"))
-    judged = quality_verdicts(asked, labels, "id", "text", "lang")
-    gone = judged.filter("not accepted and text is not null and text <> ''").select("id", F.xxhash64("text").alias("text_hash")).distinct()
-    gone = small(cut(gone))
+    judged = _judged(df, labels, id_col, text_col, lang_col, QUANTILE)
+    gone = judged.filter("not accepted and score is not null").select(col(id_col).alias("id"), F.col("key_hash").alias("text_hash"))
+    gone = small(cut(gone.distinct()))
     there = inner.filter(col(text_col).isNotNull() & (col(text_col) != ""))
     return there.join(gone, col(id_col).eqNullSafe(gone["id"]) & (F.xxhash64(col(text_col)) == gone["text_hash"]), "left_anti").select(*restored)
