@@ -24,15 +24,19 @@ VOTE_ROWS = 100_000
 FANOUT = 8
 #: Most series of codes that are searched together; also keeps the key paths of all levels apart.
 SERIES = 256
-#: Bits of each of the four blocks at the successive routing levels.
-BLOCK_BITS = (16, 12, 9)
+#: Bits of each of the four blocks at the successive routing levels; with all of them a key has 2 ** 15 codes at most.
+BLOCK_BITS = (16, 12, 9, 7, 5)
 #: Documents, about, in which frequent shingles are sought, in how many of them a shingle must occur, and most of them.
 #: They only order the shingles, so that few texts meet under each; the pairs found do not depend on them.
 HOT_SAMPLE, HOT_COUNT, HOT_SHINGLES = 5000, 4, 100_000
-#: Texts under one shingle that are paired at once; the pairs of more are dealt to ``SALTS`` tasks.
+#: Rows of one shingle that wait in a worker for one of another group.
+HELD_ROWS = 20_000
+#: The pairs of the texts under a shingle are dealt to ``SALTS`` tasks if they are more than this.
 SALT_ROWS, SALTS = 2000, 16
-#: Longs of the parity sketch of a shingle set.
-SKETCH = 4
+#: Times that the texts under a shingle are first compared with one of them.
+STARS = 2
+#: Rows of numbers, and rows with texts, that a Python worker gets at once.
+NUMBER_ROWS, TEXT_ROWS = 10_000, 500
 
 
 # Fingerprints
@@ -106,24 +110,30 @@ def _upper_nodes(masks: np.ndarray, patterns: np.ndarray, heads: np.ndarray) ->
 
 
 class GrayIndex:
-    """Codes in Gray order under levels of nodes that hold the bits all their codes share.
+    """Runs of codes in Gray order, each under levels of nodes that hold the bits all their codes share.
 
     Two nodes can only hold codes within ``d`` bits if their shared bits differ in at most
-    ``d`` places, so pairs of nodes are followed downwards and whole pairs are dropped, or,
-    if even their free bits cannot exceed ``d``, taken as a whole.
+    ``d`` places, so pairs of nodes are followed downwards from the roots, and whole pairs are
+    dropped, or, if even their free bits cannot exceed ``d``, taken as a whole. A run has one
+    root; the searches of all runs go on together.
     """
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, heads: np.ndarray):
+        """``codes``: the runs one after another; ``heads``: where each begins."""
         self.codes = codes
-        self.levels = [(np.full(len(codes), ~np.uint64(0)), codes, np.arange(len(codes) + 1))]
-        while len(self.levels[-1][1]) > 1:
-            masks, patterns, begins = self.levels[-1]
-            heads = np.arange(0, len(patterns), FANOUT)
-            mask, pattern = _upper_nodes(masks, patterns, heads)
-            self.levels.append((mask, pattern, np.append(begins[heads], len(codes))))
-
-    def links(self, distance: int) -> list[tuple[int, int]]:
-        """Pairs of positions that join exactly those codes that chains of steps of at most ``distance`` bits join."""
+        masks, patterns, begins = np.full(len(codes), ~np.uint64(0)), codes, np.arange(len(codes) + 1)
+        #: From the codes to the roots: shared bits, their values, first codes and first nodes below.
+        self.levels = [(masks, patterns, begins, begins)]
+        while len(patterns) > len(heads):
+            sizes = np.diff(np.append(heads, len(patterns)))
+            firsts = np.flatnonzero((np.arange(len(patterns)) - np.repeat(heads, sizes)) % FANOUT == 0)
+            masks, patterns = _upper_nodes(masks, patterns, firsts)
+            below = np.append(firsts, begins.size - 1)
+            begins, heads = begins[below], np.searchsorted(firsts, heads)
+            self.levels.append((masks, patterns, begins, below))
+
+    def links(self, distance: int) -> np.ndarray:
+        """Pairs of positions that join exactly those codes of a run that chains of steps of at most ``distance`` bits join."""
         parent = list(range(len(self.codes)))
         out = []
 
@@ -138,30 +148,28 @@ class GrayIndex:
                 parent[max(a, b)] = min(a, b)
                 out.append((i, j))
 
-        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        roots = np.arange(len(self.levels[-1][1]))
+        stack = [(len(self.levels) - 1, roots, roots)]
         while stack:
             level, left, right = stack.pop()
-            masks, patterns, begins = self.levels[level]
+            masks, patterns, begins, below = self.levels[level]
             both = masks[left] & masks[right]
             apart = _popcount((patterns[left] ^ patterns[right]) & both)
-            keep = apart <= distance
+            keep = (apart <= distance) & ((left != right) | (begins[left + 1] - begins[left] > 1))
             left, right, both, apart = left[keep], right[keep], both[keep], apart[keep]
             whole = apart + _popcount(~both) <= distance
             for i, j in zip(left[whole].tolist(), right[whole].tolist(), strict=True):
                 for k in (*range(begins[i], begins[i + 1]), *range(begins[j], begins[j + 1])):
                     join(int(begins[i]), k)
             left, right = left[~whole], right[~whole]
-            if level == 0 or not len(left):
-                continue
-            size = len(self.levels[level - 1][1])
             step = np.arange(FANOUT)
-            for at in range(0, len(left), 4096):
-                a = (left[at : at + 4096, None] * FANOUT + step)[:, :, None]
-                b = (right[at : at + 4096, None] * FANOUT + step)[:, None, :]
-                a, b = (x.reshape(-1) for x in np.broadcast_arrays(a, b))
-                ok = (a < size) & (b < size) & (a <= b)
-                stack.append((level - 1, a[ok], b[ok]))
-        return out
+            for at in range(0, len(left) if level else 0, 4096):
+                i, j = left[at : at + 4096], right[at : at + 4096]
+                a, b = below[i][:, None] + step, below[j][:, None] + step
+                ok = (a < below[i + 1][:, None])[:, :, None] & (b < below[j + 1][:, None])[:, None, :] & (a[:, :, None] <= b[:, None, :])
+                x, y, z = np.nonzero(ok)
+                stack.append((level - 1, a[x, y], b[x, z]))
+        return np.array(out, np.int64).reshape(-1, 2)
 
 
 def _gray_rank(code: Column) -> Column:
@@ -214,20 +222,9 @@ def _routed(codes: DataFrame) -> DataFrame:
 
 def _links_of_runs(keys: np.ndarray, run: np.ndarray, distance: int) -> np.ndarray:
     """Links ``series, a, b`` inside the runs of one key; ``keys`` holds series, path and value, ``run`` Gray-ordered codes."""
-    codes = run.view(np.uint64)
     heads = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-    sizes = np.diff(np.append(heads, len(run)))
-    size_here = np.repeat(sizes, sizes)
-    found = []
-    for step in range(1, FANOUT):  # runs that fill one node at most are compared at once
-        near = (size_here[:-step] > step) & (size_here[:-step] <= FANOUT) & (keys[:-step] == keys[step:]).all(axis=1)
-        i = np.flatnonzero(near)
-        i = i[_popcount(codes[i] ^ codes[i + step]) <= distance]
-        found.append(np.column_stack([keys[i, 0], run[i], run[i + step]]))
-    for head, size in zip(heads[sizes > FANOUT].tolist(), sizes[sizes > FANOUT].tolist(), strict=True):
-        pairs = np.array(GrayIndex(codes[head : head + size]).links(distance), np.int64).reshape(-1, 2) + head
-        found.append(np.column_stack([keys[pairs[:, 0], 0], run[pairs[:, 0]], run[pairs[:, 1]]]))
-    return np.concatenate(found)
+    pairs = GrayIndex(run.view(np.uint64), heads).links(distance)
+    return np.column_stack([keys[pairs[:, 0], 0], run[pairs[:, 0]], run[pairs[:, 1]]])
 
 
 def near_links(codes: DataFrame, distance: int = 3) -> DataFrame:
@@ -236,8 +233,8 @@ def near_links(codes: DataFrame, distance: int = 3) -> DataFrame:
     ``codes`` holds distinct pairs ``series`` (int below 256) and ``code`` (long). Codes meet
     under the keys of :func:`_routes` (four blocks find every pair of up to three differing
     bits), are sorted by Gray rank, and each key's run is searched through a
-    :class:`GrayIndex`. A long run gives at most one link fewer than it has codes, so dense
-    groups do not give all their pairs.
+    :class:`GrayIndex`. A run gives at most one link fewer than it has codes, so dense groups
+    do not give all their pairs.
     """
     if not 0 <= distance <= 3:
         raise ValueError("the routing covers distances from 0 to 3")
@@ -282,9 +279,10 @@ def simhash_components(
     Fewer words than a shingle make one shingle. Null ids are ignored when the smallest is
     sought; a component of null ids only has a null ``component_id``. Empty input gives no rows.
     """
-    arrow_batches(df.sparkSession)
+    arrow_batches(df.sparkSession, TEXT_ROWS)
     inner, col, _ = shield(df)
     printed = cut(inner.select(col(id_col).alias("id"), fingerprint(col(text_col), shingle).alias("code")))
+    arrow_batches(df.sparkSession, NUMBER_ROWS)
     classes = cut(printed.groupBy("code").agg(F.min("id").alias("least")))
     links = near_links(classes.select(F.lit(0).alias("series"), "code"), distance)
     parts = connected_components(links.select("a", "b"))
@@ -319,7 +317,7 @@ def word_codes(text: Column, seeds: int) -> Column:
             yield pd.Series([c if n else None for c, n in zip(codes.view(np.int64), some, strict=True)], dtype="object")
         release_memory()
 
-    return of(text)
+    return of.asNondeterministic()(text)  # else the optimizer filters on its result first, which runs it twice
 
 
 def shingle_set(text: Column, size: int) -> Column:
@@ -329,7 +327,7 @@ def shingle_set(text: Column, size: int) -> Column:
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, size)).view(np.int64) for t in texts])
 
-    return of(text)
+    return of.asNondeterministic()(text)
 
 
 def _hot_shingles(texts: DataFrame, size: int) -> np.ndarray:
@@ -342,16 +340,16 @@ def _hot_shingles(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def _prints(texts: DataFrame, size: int, similarity: float, hot: np.ndarray) -> DataFrame:
-    """``id, n, same, sketch, keys`` of ``id, text``: number of shingles, digest and parity sketch of their set, and its prefix.
+    """``id, n, same, sketch, folded, keys`` of ``id, text``: number of shingles, digest and parity sketch of their set, that folded to 256 bits, and its prefix.
 
     Shingles are ordered by hash, frequent ones last. Two sets of at least the wanted
     similarity share a shingle among the first ``n - ceil(similarity * n) + 1`` of each. Each
-    shingle turns one bit of the sketch, so sketches differ in no more bits than sets do in
-    shingles. Texts without words are left out.
+    shingle turns one bit of the sketch, which has one to two bits a shingle, a power of two, 256 at least.
+    Texts without words are left out.
     """
     sent = texts.sparkSession.sparkContext.broadcast(hot)
 
-    @F.pandas_udf("struct<n:int,same:binary,sketch:array<long>,keys:array<long>>")
+    @F.pandas_udf("struct<n:int,same:binary,sketch:binary,folded:array<long>,keys:array<long>>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         last = sent.value
         for texts in parts:
@@ -359,86 +357,121 @@ def _prints(texts: DataFrame, size: int, similarity: float, hot: np.ndarray) ->
             for t in texts:
                 every = np.unique(shingle_hashes(t, size))
                 n = len(every)
-                bits = np.bincount(every.astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH).astype(np.uint8) & 1
+                size_here = 1 << max(8, (n - 1).bit_length())
+                bits = np.bincount((every & np.uint64(size_here - 1)).astype(np.int64), minlength=size_here).astype(np.uint8) & 1
                 keys = every.view(np.int64)
                 late = last[np.minimum(np.searchsorted(last, keys), len(last) - 1)] == keys if len(last) else np.zeros(n, bool)
                 keys = np.concatenate([keys[~late], keys[late]])[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-                rows.append((n, xxhash.xxh3_128_digest(every.tobytes()), np.packbits(bits).view(np.int64), keys))
-            yield pd.DataFrame(rows, columns=["n", "same", "sketch", "keys"])
+                sketch = np.packbits(bits)
+                short = np.bitwise_xor.reduce(sketch.reshape(-1, 32), axis=0).view(np.int64)
+                rows.append((n, xxhash.xxh3_128_digest(every.tobytes()), sketch.tobytes(), short, keys))
+            yield pd.DataFrame(rows, columns=["n", "same", "sketch", "folded", "keys"])
         release_memory()
 
-    return texts.select("id", of("text").alias("p")).select("id", "p.*").filter("n > 0")
+    # The filter follows a checkpoint; without one it would run the function a second time.
+    return cut(texts.select("id", of("text").alias("p")).select("id", "p.*")).filter("n > 0")
+
+
+def bits_apart(a: Column, b: Column) -> Column:
+    """Bits in which two parity sketches differ, the longer one folded: never more than the sets differ in shingles."""
+
+    def folded(x: np.ndarray, size: int) -> np.ndarray:
+        while len(x) > size:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        return x
+
+    @F.pandas_udf("int")
+    def of(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(left, right, strict=True):
+            x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            size = min(len(x), len(y))
+            out.append(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()))
+        return pd.Series(out, dtype="int32")
+
+    return of(a, b)
 
 
-def _prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """All distinct pairs ``a, b`` of ``id, n, sketch, keys, part`` that may be alike and are of two parts.
+def _meetings(rows: DataFrame) -> DataFrame:
+    """``key, id, n, pos, part`` of ``id, n, keys, part``: the shingles of prefixes that texts of several parts share.
 
-    Rows meet under the shingles of their prefixes in one shuffle. Those under a shingle of
-    many are passed on and joined with salts, so that no task has all their pairs.
+    Texts meet under their shingles in one shuffle; most shingles are of one text and go.
     """
-    share = similarity / (1 + similarity)
     kind = rows.schema["id"].dataType.simpleString()
-    columns = ["a", "b", "part", "key", "n", "pos"]
-
-    def pairs_of(held: pd.DataFrame) -> pd.DataFrame:
-        key, n, pos = (held[c].to_numpy(np.int64) for c in ("key", "n", "pos"))
-        ids, part = held["id"].to_numpy(), held["part"].to_numpy()
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.append(heads, len(key)))
-        size, offset = np.repeat(sizes, sizes), np.arange(len(key)) - np.repeat(heads, sizes)
-        many = np.flatnonzero(size > SALT_ROWS)
-        out = [pd.DataFrame({"a": ids[many], "b": ids[many], "part": part[many], "key": key[many], "n": n[many], "pos": pos[many]})]
-        i, step = np.flatnonzero((size > 1) & (size <= SALT_ROWS)), 1
-        while len(i):
-            i = i[offset[i] + step < size[i]]
-            j = i + step
-            # Texts are alike only if they share this many shingles, of which none come before the first one that they share.
-            least = share * (n[i] + n[j]) - 1e-6
-            ok = (part[i] != part[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least) & (np.minimum(n[i], n[j]) >= least)
-            x = ids[i[ok]]
-            out.append(pd.DataFrame({"a": x, "b": ids[j[ok]], "part": x, "key": 0, "n": 0, "pos": 0}))
-            step += 1
-        return pd.concat([o for o in out if len(o)] or out[:1])[columns]
-
-    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size, wait = 0, 20_000
+
+    def several(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, told = None, False  # rows of the last key, which may go on; whether it is known to have several parts
         for pdf in parts:
-            held.append(pdf)
-            size += len(pdf)
-            if size >= wait:
-                every = pd.concat(held)
-                key = every["key"].to_numpy()
-                whole = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-                if whole:
-                    yield pairs_of(every[:whole])
-                held, size = [every[whole:]], len(every) - whole
-                wait = 20_000 + 2 * size
-        if size:
-            yield pairs_of(pd.concat(held))
-        release_memory()
+            every = pdf if held is None else pd.concat([held, pdf])
+            if not len(every):
+                continue
+            key, part = every["key"].to_numpy(np.int64), pd.factorize(every["part"])[0]
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            mixed = np.minimum.reduceat(part, heads) != np.maximum.reduceat(part, heads)
+            mixed[0] |= told
+            mixed[-1] |= len(key) - heads[-1] > HELD_ROWS  # too many to wait for another part
+            keep = np.repeat(mixed, np.diff(np.append(heads, len(key))))
+            if told:
+                keep[0] = False  # passed on before; it only stands for its key
+            if not mixed[-1]:
+                keep[heads[-1] :] = False
+            yield every[keep]
+            told = bool(mixed[-1])
+            held = every[-1:] if told else every[heads[-1] :]
 
     keyed = rows.select("id", "n", "part", F.posexplode("keys").alias("pos", "key")).repartition("key").sortWithinPartitions("key")
-    found = cut(keyed.mapInPandas(meet, f"a {kind}, b {kind}, part {kind}, key long, n int, pos int").distinct())
-    full = found.filter("n > 0")
-    left = full.select("key", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"), F.col("a").alias("id_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("part").alias("part_a"))
-    right = full.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("a").alias("id_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("part").alias("part_b"))
-    least = F.lit(share) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    met = left.join(right, ["key", "salt"]).filter(
-        (F.col("id_a") < F.col("id_b"))
-        & (F.col("part_a") != F.col("part_b"))
-        & (F.least("n_a", "n_b") >= least)
-        & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= least)
+    return cut(keyed.select("key", "id", "n", "pos", "part").mapInPandas(several, f"key long, id {kind}, n int, pos int, part {kind}"))
+
+
+def _apart(met: DataFrame) -> DataFrame:
+    """Those of ``met`` under shingles with texts of several parts, with the number of ``texts`` there."""
+    counted = met.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("texts"))
+    return cut(met.join(counted.filter("least <> most").select("key", "texts"), "key"))
+
+
+def _may_be_alike(similarity: float) -> Column:
+    """Of two texts under a shingle: they share so many shingles, of which none come before the first one that they share."""
+    least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    return (F.col("part_a") != F.col("part_b")) & (F.least("n_a", "n_b") >= least) & (room >= least)
+
+
+def _star_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs ``a, b``: under each shingle the text of the least part with those of other parts, one pair a text."""
+    first = met.groupBy("key").agg(F.min(F.struct("part", "id", "n", "pos")).alias("f")).select(
+        "key", F.col("f.part").alias("part_a"), F.col("f.id").alias("id_a"), F.col("f.n").alias("n_a"), F.col("f.pos").alias("pos_a")
     )
-    pairs = found.filter("n = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.unionByName(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).filter("a <> b").distinct()
-    sketches = rows.select("id", "n", "sketch")
+    others = met.select("key", F.col("part").alias("part_b"), F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+    return others.join(first, "key").filter(_may_be_alike(similarity)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _most_apart(similarity: float) -> Column:
+    """Shingles in which the sets of two alike texts can differ."""
+    return F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-6
+
+
+def _all_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs ``a, b`` of texts of two parts under a shingle; those of many texts are dealt to ``SALTS`` tasks.
+
+    Pairs whose folded sketches differ too much are left out within the join.
+    """
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "part", "folded")]
+    salts = F.when(F.col("texts") > SALT_ROWS, SALTS).otherwise(1)
+    left = met.select("key", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), *side("a"))
+    right = met.select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *side("b"))
     apart = F.lit(0)
-    for i in range(SKETCH):
-        apart = apart + F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i]))
-    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-6
+    for i in range(4):
+        apart = apart + F.bit_count(F.col("folded_a")[i].bitwiseXOR(F.col("folded_b")[i]))
+    same = [left["key"] == right["key"], left["salt"] == right["salt"]]
+    pairs = left.join(right, [*same, F.col("id_a") < F.col("id_b"), _may_be_alike(similarity), apart <= _most_apart(similarity)])
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def _like_sketches(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose parity sketches differ no more than those of alike texts can."""
+    sketches = rows.select("id", "n", "sketch")
     both = pairs.join(sketches.toDF("a", "n_a", "sketch_a"), "a").join(sketches.toDF("b", "n_b", "sketch_b"), "b")
-    return both.filter(apart <= most).select("a", "b")
+    return both.filter(bits_apart(F.col("sketch_a"), F.col("sketch_b")) <= _most_apart(similarity)).select("a", "b")
 
 
 def drop_near_duplicates(
@@ -447,7 +480,7 @@ def drop_near_duplicates(
     text_col: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    seeds: int = 12,
+    seeds: int = 4,
 ) -> DataFrame:
     """Keep one row, that with the smallest id, of each group of rows with alike texts.
 
@@ -456,15 +489,17 @@ def drop_near_duplicates(
     SimHash codes of the distinct words, each searched at three bits by :func:`near_links`;
     within a code, texts are compared with the smallest id, and linked codes through theirs.
     It joins most copies cheaply but misses pairs, such as those with an added block. A second
-    pass is exact: it takes every pair of texts that the first did not join and that share a
-    shingle of their prefixes (:func:`_prints`). Every candidate of either pass is confirmed
-    on whole texts, so nothing is dropped for its fingerprint alone and no alike pair is left.
+    pass is exact: texts of different groups that share a shingle of their prefixes
+    (:func:`_prints`) are compared, first with one text under each shingle, which joins large
+    groups without their pairs, then all those whose groups are still apart. Every candidate
+    is confirmed on whole texts, so nothing is dropped for its fingerprint alone and no alike
+    pair is left.
 
     Returns the columns of ``df``. Defined cases: rows without words and rows with a null id
     stay; equal ids are one row's repeats and all stay; empty input gives no rows.
     """
     spark = df.sparkSession
-    arrow_batches(spark)
+    arrow_batches(spark, TEXT_ROWS)
     inner, col, restored = shield(df)
     doc, text = col(id_col), col(text_col)
     coded = cut(
@@ -472,6 +507,7 @@ def drop_near_duplicates(
         .select(doc.alias("id"), word_codes(text, seeds).alias("codes"))
         .select("id", F.posexplode("codes").alias("series", "code"))
     )
+    arrow_batches(spark, NUMBER_ROWS)
     classes = cut(coded.groupBy("series", "code").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     leader = classes.select("series", "code", "least")
     members = coded.join(classes.filter("n > 1").select("series", "code", "least"), ["series", "code"])
@@ -486,6 +522,7 @@ def drop_near_duplicates(
     pairs = cut(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def alike(pairs: DataFrame) -> DataFrame:
+        arrow_batches(spark, TEXT_ROWS)
         named = small(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         sets = cut(
             inner.withColumn("id", doc).join(named, "id", "left_semi").select("id", shingle_set(text, shingle).alias("shingles")).dropDuplicates(["id"])
@@ -500,15 +537,26 @@ def drop_near_duplicates(
 
     first = alike(pairs)
     texts = inner.filter(doc.isNotNull()).select(doc.alias("id"), text.alias("text"))
-    prints = cut(_prints(texts, shingle, similarity, _hot_shingles(texts, shingle)))
+    prints = _prints(texts, shingle, similarity, _hot_shingles(texts, shingle))
+    arrow_batches(spark, NUMBER_ROWS)
     # Equal sets are one: the others are linked to that of the smallest id and left out of the search.
     least = prints.groupBy("same").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("same", "a")
     equal = cut(prints.select("same", F.col("id").alias("b")).join(least, "same").filter("a <> b").select("a", "b").distinct())
     linked = first.unionByName(equal)
-    parts = connected_components(linked).toDF("id", "component")
-    single = prints.join(small(equal.select(F.col("b").alias("id"))), "id", "left_anti")
-    rows = single.join(small(parts), "id", "left").withColumn("part", F.coalesce("component", "id")).select("id", "n", "sketch", "keys", "part")
-    second = alike(cut(_prefix_pairs(rows, similarity)))
-    parts = connected_components(linked.unionByName(second))
+    rows = prints.join(small(equal.select(F.col("b").alias("id"))), "id", "left_anti")
+
+    def in_parts(texts: DataFrame) -> DataFrame:
+        named = texts.join(small(connected_components(linked).toDF("id", "component")), "id", "left")
+        return named.withColumn("part", F.coalesce("component", "id")).drop("component")
+
+    met = _meetings(in_parts(rows))
+    for search in (*[_star_pairs] * STARS, _all_pairs):
+        met = _apart(in_parts(met.drop("part", "texts")))
+        if search is _all_pairs:
+            met = met.join(rows.select("id", "folded"), "id")
+        pairs = cut(_like_sketches(cut(search(met, similarity)), rows, similarity))
+        linked = cut(linked.unionByName(alike(pairs)))
+        arrow_batches(spark, NUMBER_ROWS)
+    parts = connected_components(linked)
     gone = small(cut(parts.filter("node <> component").select(F.col("node").alias("id"))))
     return inner.withColumn("id", doc).join(gone, "id", "left_anti").select(*restored)
