@@ -26,11 +26,11 @@ STEPS = 1000
 #: Texts are judged as if this many more characters of average trusted text stood in them, else a few letters decide on short ones.
 PRIOR = 40
 #: Bytes of text, about, that ask for their n-grams' probabilities together.
-BUCKET_BYTES = 48_000_000
+BUCKET_BYTES = 32_000_000
 #: Most buckets whose questions for one n-gram are one row.
 TOGETHER = 1000
 #: Characters coded at once.
-CHUNK = 2_000_000
+CHUNK = 500_000
 #: What stands before a text; no character of a text.
 BEGIN = chr(0x10FFFF)
 #: Rows that a Python worker gets at once, and n-grams that it counts before it passes them on.
@@ -235,7 +235,8 @@ def scores(docs: DataFrame, model: NGramTables) -> DataFrame:
 
     # All columns go to the function: the two uses of the dealt texts then share one shuffle.
     asked = dealt.mapInPandas(ask, "bucket int, gram string")
-    together = asked.groupBy("gram", F.floor(F.col("bucket") / TOGETHER).alias("span")).agg(F.collect_list("bucket").alias("buckets"))
+    # Rows are spread by n-gram first: lists begun in the tasks that ask would hold one bucket each, and take memory there.
+    together = asked.repartition("gram").groupBy("gram", F.floor(F.col("bucket") / TOGETHER).alias("span")).agg(F.collect_list("bucket").alias("buckets"))
     told = probabilities(together.select("gram", "buckets"), model).select(F.explode("buckets").alias("bucket"), "gram", "log_p")
 
     def add_up(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
