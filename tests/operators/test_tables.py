@@ -85,6 +85,9 @@ def test_alerts(spark):
     assert groups(same_column=True) == {i: i for i in range(1, 8)}
     assert sorted((r.id_a, r.id_b, r.column_a, r.column_b) for r in alerts.why_grouped(df, families).collect()) == [(1, 2, "ip1", "ip2"), (3, 4, "ip2", "ip1")]
     assert {r.value: r.ids for r in alerts.ids_of_values(df, families).collect()}["a"] == [1, 2]
+    many = spark.range(500).select("id", F.lit("x").alias("ip1"), F.lit(None).cast("string").alias("ip2"), F.lit(None).cast("string").alias("s3"))
+    lists = [r.ids for r in alerts.ids_of_values(many, families, chunk_ids=50).collect()]
+    assert len(lists) == 10 and max(map(len, lists)) < 100 and sorted(i for x in lists for i in x) == list(range(500))
     assert alerts.records_of_ids(df).filter("id = 1").first().records[0].s3 == "k"
 
 

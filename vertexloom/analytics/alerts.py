@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from vertexloom.analytics.components import connected_components
 
+#: Alerts in one list of ids, about; a value with more has several.
+CHUNK_IDS = 1000
+
 
 def shared_values(alerts: DataFrame, families: Mapping[str, Sequence[str]], id_col: str = "id", same_column: bool = False) -> DataFrame:
     """``id, family, column, value``: values of an alert; columns of one family count as one unless ``same_column``."""
@@ -37,9 +40,16 @@ def values_of_groups(alerts: DataFrame, groups: DataFrame, families: Mapping[str
     return shared_values(alerts, families, id_col).join(groups, "id").groupBy("group", "family", "value").agg(F.countDistinct("id").alias("n_alerts"))
 
 
-def ids_of_values(alerts: DataFrame, families: Mapping[str, Sequence[str]], id_col: str = "id") -> DataFrame:
-    """``family, value, ids``: alerts that have each value, in order."""
-    return shared_values(alerts, families, id_col).groupBy("family", "value").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+def ids_of_values(alerts: DataFrame, families: Mapping[str, Sequence[str]], id_col: str = "id", chunk_ids: int = CHUNK_IDS) -> DataFrame:
+    """``family, value, chunk, ids``: alerts that have each value, in order, dealt to rows of about ``chunk_ids``.
+
+    The number of a value's chunks follows from how often it occurs and an alert's chunk from
+    its id, so a value that many alerts share has many rows instead of one that grows.
+    """
+    values = shared_values(alerts, families, id_col)
+    sizes = values.groupBy("family", "value").agg(F.ceil(F.count("*") / chunk_ids).alias("chunks"))
+    dealt = values.join(sizes, ["family", "value"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    return dealt.groupBy("family", "value", "chunk").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
 def records_of_ids(alerts: DataFrame, id_col: str = "id") -> DataFrame:

@@ -208,15 +208,14 @@ def edge_ends_by_property(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Expansion, alerts, summaries
 
 
-@_query("""WITH l AS (SELECT DISTINCT l_orderkey AS id, 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45),
+@_query("""WITH l AS (SELECT DISTINCT l_orderkey AS id, 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem),
     x AS (SELECT id, a AS v FROM l UNION SELECT id, b FROM l), y AS (SELECT * FROM x WHERE v <> 'p7'),
     s0 AS (SELECT DISTINCT id FROM y WHERE v IN ('p11', 'p12', 'p13', 'p14', 'p15')),
     s1 AS (SELECT DISTINCT id FROM y WHERE v IN (SELECT v FROM y WHERE id IN (SELECT id FROM s0)) AND id NOT IN (SELECT id FROM s0)),
     s2 AS (SELECT DISTINCT id FROM y WHERE v IN (SELECT v FROM y WHERE id IN (SELECT id FROM s1)) AND id NOT IN (SELECT id FROM s0) AND id NOT IN (SELECT id FROM s1))
     SELECT id AS event_id, 0::int AS level FROM s0 UNION ALL SELECT id, 1 FROM s1 UNION ALL SELECT id, 2 FROM s2""")
 def entity_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 45")
-    events = lines.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("O"), "l_orderkey").alias("a"), F.concat(F.lit("P"), "l_partkey").alias("b"))
+    events = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("O"), "l_orderkey").alias("a"), F.concat(F.lit("P"), "l_partkey").alias("b"))
     named = ex.pivots(events, "id", ["a", "b"]).distinct()
     seeds = spark.createDataFrame([(f"P{k}",) for k in range(11, 16)], "value string")
     return ex.expand(named, seeds, 3, skip=("p7", *text.JUNK))
@@ -228,19 +227,21 @@ def time_bounded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.in_window(read(spark, sf_dir, "events"), "ts", "2024-01-05", "2024-01-12", either).select("event_id", "event_type")
 
 
-_ALERTS_SQL = "a AS (SELECT l_orderkey AS id, min(l_partkey) AS part_1, max(l_partkey) AS part_2, max(l_suppkey) AS supplier FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 47 GROUP BY 1)"
-FAMILIES = {"part": ["part_1", "part_2"]}
+_ALERTS_SQL = "a AS (SELECT l_orderkey AS id, min(l_partkey) AS part_1, max(l_partkey) AS part_2, max(l_suppkey) AS supplier FROM lineitem GROUP BY 1)"
+FAMILIES = {"part": ["part_1", "part_2"], "supplier": ["supplier"]}
+_CELLS_SQL = """c AS (SELECT id, 'part' AS family, 'part_1' AS col, part_1 AS v FROM a UNION ALL SELECT id, 'part', 'part_2', part_2 FROM a UNION ALL SELECT id, 'supplier', 'supplier', supplier FROM a),
+    x AS MATERIALIZED (SELECT DISTINCT id, family, v FROM c WHERE v IS NOT NULL)"""
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 47")
-    return rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_partkey").alias("part_1"), F.max("l_partkey").alias("part_2"), F.max("l_suppkey").alias("supplier"))
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_partkey").alias("part_1"), F.max("l_partkey").alias("part_2"), F.max("l_suppkey").alias("supplier"))
 
 
-_GROUPS_SQL = f"""WITH RECURSIVE {_ALERTS_SQL}, x AS (SELECT id, part_1 AS v FROM a UNION SELECT id, part_2 FROM a),
-    y AS (SELECT DISTINCT p.id AS i, q.id AS j FROM x p JOIN x q USING (v)),
-    r(id, root) AS (SELECT id, id FROM a UNION SELECT y.j, r.root FROM r JOIN y ON y.i = r.id WHERE r.root < y.j),
-    g AS (SELECT id, min(root) AS grp FROM r GROUP BY id)"""
+# Each round gives an alert the least group known under any of its values, until none changes.
+_GROUPS_SQL = f"""WITH RECURSIVE {_ALERTS_SQL}, {_CELLS_SQL},
+    r(id, grp) USING KEY (id) AS (SELECT id, id FROM a UNION
+        SELECT x.id, min(m.grp) FROM x JOIN (SELECT x.family, x.v, min(k.grp) AS grp FROM recurring.r k JOIN x ON x.id = k.id GROUP BY ALL) m ON m.family = x.family AND m.v = x.v
+        JOIN recurring.r old ON old.id = x.id GROUP BY x.id, old.grp HAVING min(m.grp) < old.grp)"""
 
 
 def alert_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,10 +251,9 @@ def alert_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["alert_groups"] = alert_groups
 
 
-@_query(f"WITH {_ALERTS_SQL}, x AS (SELECT id, part_1 AS v FROM a UNION SELECT id, part_2 FROM a) SELECT 'part' AS family, v::varchar AS value, list_sort(list(id))::varchar AS ids FROM x GROUP BY v")
+@_query(f"WITH {_ALERTS_SQL}, {_CELLS_SQL} SELECT family, v::varchar AS value, id FROM x")
 def alert_ids_of_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = al.ids_of_values(_alerts(spark, sf_dir), FAMILIES)
-    return out.withColumn("ids", F.concat(F.lit("["), F.array_join(F.col("ids").cast("array<string>"), ", "), F.lit("]")))
+    return al.ids_of_values(_alerts(spark, sf_dir), FAMILIES).select("family", "value", F.explode("ids").alias("id"))
 
 
 @_query()
@@ -262,9 +262,8 @@ def alert_group_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.values_of_groups(rows, al.group_alerts(rows, FAMILIES), FAMILIES)
 
 
-@_query(f"""WITH {_ALERTS_SQL}, x AS (SELECT id, 'part_1' AS c, part_1 AS v FROM a UNION ALL SELECT id, 'part_2', part_2 FROM a),
-    m AS (SELECT v, arg_min(id, id || c) AS id, min(id) AS i FROM x GROUP BY v)
-    SELECT m.i AS id_a, x.id AS id_b, x.v::varchar AS value, (SELECT min(c) FROM x z WHERE z.v = x.v AND z.id = m.i) AS column_a, x.c AS column_b FROM x JOIN m USING (v) WHERE x.id <> m.i""")
+@_query(f"""WITH {_ALERTS_SQL}, {_CELLS_SQL}, m AS (SELECT family, v, min(id) AS i, arg_min(col, (id, col)) AS first_col FROM c WHERE v IS NOT NULL GROUP BY ALL)
+    SELECT m.i AS id_a, c.id AS id_b, c.v::varchar AS value, m.first_col AS column_a, c.col AS column_b FROM c JOIN m ON m.family = c.family AND m.v = c.v WHERE c.id <> m.i""")
 def alert_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.why_grouped(_alerts(spark, sf_dir), FAMILIES)
 
@@ -442,5 +441,5 @@ SQL["stream_ingest"] = f"""{_EDGES}, d AS (SELECT DISTINCT label, src_identifier
     n AS (SELECT DISTINCT 'user' AS label, user_name AS identifier FROM log UNION ALL SELECT DISTINCT 'action', event_type FROM log UNION ALL SELECT DISTINCT 'IP', unnest(l) FROM log),
     c AS (SELECT CASE label WHEN 'talked' THEN 'IP' ELSE 'user' END AS label, src_identifier AS identifier, count(*) AS k FROM d GROUP BY ALL)
     SELECT label, identifier, coalesce(k, 0)::bigint AS n_edges FROM n LEFT JOIN c USING (label, identifier)"""
-SQL["alert_groups"] = f'{_GROUPS_SQL} SELECT id, grp AS "group" FROM g'
-SQL["alert_group_values"] = f"""{_GROUPS_SQL} SELECT grp AS "group", 'part' AS family, v::varchar AS value, count(DISTINCT id) AS n_alerts FROM g JOIN x USING (id) GROUP BY ALL"""
+SQL["alert_groups"] = f'{_GROUPS_SQL} SELECT id, grp AS "group" FROM r'
+SQL["alert_group_values"] = f"""{_GROUPS_SQL} SELECT grp AS "group", family, v::varchar AS value, count(DISTINCT x.id) AS n_alerts FROM r JOIN x ON x.id = r.id GROUP BY ALL"""
