@@ -135,3 +135,33 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/variant").select(F.variant_get("v", "$.a.b", "int")).first()[0] == 7
     assert summaries.rows_by_source(df).first().n == 2
     assert records.from_adjacent_names(df.toDF("N-a", "b c", "ds", "t")).columns == ["n_a", "b_c", "ds", "t"]
+
+
+def test_time_formats(spark):
+    at = dt.datetime(2024, 3, 5, 10, 20, 30)
+    texts = ["2024-03-05 10:20:30", "2024-03-05T10:20:30", "2024-03-05 10:20:30Z", "2024-03-05T12:20:30+02:00", "2024-03-05t10:20:30", "Tue Mar 05 10:20:30 UTC 2024", "2024-03-05T10:20:30.000Z"]
+    df = spark.createDataFrame([(t, at) for t in texts] + [("later", None), (None, None)], "t string, at timestamp_ntz")
+    rows = df.withColumn("got", text.log_time(F.col("t")).cast("timestamp_ntz")).collect()
+    assert [r.got for r in rows] == [r.at for r in rows]
+
+
+def test_file_names_and_sides(spark):
+    df = spark.createDataFrame([("C:\\bin\\A.exe,/opt/B", "1.1.1.1"), (None, None)], "path string, seen string")
+    rows = df.select(text.file_names(F.col("path")).alias("p"), logs.both_sides(df, "seen", "absent").alias("s")).collect()
+    assert [(r.p, tuple(r.s)) for r in rows] == [(["a.exe", "b"], ("1.1.1.1", "")), ([""], ("", ""))]
+
+
+def test_field_layouts():
+    assert (len(logs.MAIL_FIELDS), len(logs.FIREWALL_FIELDS)) == (26, 45)
+    assert len(set(logs.FIREWALL_FIELDS)) == 45
+
+
+def test_delta_and_status(spark):
+    raw = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "a"), (2, dt.datetime(2024, 1, 2), "b"), (3, dt.datetime(2024, 1, 9), "a")], "id long, ts timestamp_ntz, ds string")
+    tracker = cases.arrivals(raw.filter("id < 3 and ds = 'a'"), "id", "ts", "ds")
+    assert [r.id for r in cases.delta_rows(raw, tracker, "ts", "ds").collect()] == [1]
+    done = cases.mark_processed(tracker, F.lit("2023-01-01").cast("timestamp_ntz"), F.lit("2025-01-01").cast("timestamp_ntz"), F.lit("2025-01-01").cast("timestamp_ntz"))
+    assert cases.delta_rows(raw, done, "ts", "ds").count() == 0
+    log = raw.select(F.col("ds").alias("case_id"), F.col("id").cast("string").alias("status"), F.col("ts").alias("at"))
+    assert [(r.case_id, r.status) for r in cases.status_of(log, ["a"]).collect()] == [("a", "3")]
+    assert sorted(r.case_id for r in cases.case_ids(log).collect()) == ["a", "b"]

@@ -15,6 +15,19 @@ FIREWALL_KEYS = {
     "sent_bytes": "sent_bytes", "rcvd_bytes": "rcvd_bytes", "elapsed_time": "elapsed_time", "op": "operation",
 }
 
+#: Fixed order of the fields of a mail tracking line.
+MAIL_FIELDS = (
+    "datetime", "client-ip", "client-hostname", "server-ip", "server-hostname", "source-context", "connector-id", "source", "event-id", "internal-message-id", "message-id",
+    "recipient-address", "recipient-status", "total-bytes", "recipient-count", "related-recipient-address", "reference", "message-subject", "sender-address", "return-path",
+    "message-info", "directionality", "tenant-id", "original-client-ip", "original-server-ip", "custom-data",
+)
+#: Fixed order of the fields of a firewall line; those without a name are called by their position.
+FIREWALL_FIELDS = (
+    "sid", "cluster", "sn", "messageID", "tag_id", "raw_id", "disp", "direction", "pri", "policy", "protocol", "ip_src_addr", "ip_src_port", "ip_dst_addr", "ip_dst_port", "src_ip_nat",
+    "src_port_nat", "dst_ip_nat", "dst_port_nat", "src_intf", "dst_intf", "rc", "pckt_len", "ttl", "pr_info", "proxy_act", "alarm_name", "alarm_type", "alarm_id", "info_1", "info_2",
+    "info_3", "info_4", "info_5", "info_6", *[f"property{n}" for n in range(35, 41)], "log_type", "msg", "bucket", "timestamp",
+)
+
 
 def key_value(line: Column, key: str) -> Column:
     """The value of ``key=value`` in a line of such pairs parted by spaces; empty if it is not there.
@@ -76,6 +89,12 @@ def address_kinds(first: Column, second: Column) -> Column:
     return F.struct(ip_kind(F.coalesce(first, F.lit(""))).alias("first"), ip_kind(F.coalesce(second, F.lit(""))).alias("second"))
 
 
+def both_sides(df: DataFrame, source: str, destination: str) -> Column:
+    """Source and destination address, or host, of a record; empty where it lacks the field or has a null."""
+    side = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
+    return F.struct(side(source).alias("source"), side(destination).alias("destination"))
+
+
 def windows_account(target: Column, subject: Column) -> Column:
     """The target user, or else the subject, without domain."""
     return without_domain(F.coalesce(target, subject, F.lit("")))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 #: Fixed values that stand for nothing.
 JUNK = ("", "-", "na", "n/a", "null", "none", "unknown", "::1", "127.0.0.1", "localhost")
-#: Fixed formats in which log times are written, tried in order.
+#: Formats in which log times are written, tried in order; ``XXX`` takes Z and offsets, and a weekday before the month is dropped first.
 TIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX",
-    "yyyy-MM-dd'T'HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss Z", "yyyy-MM-dd",
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd't'HH:mm:ss", "MMM dd HH:mm:ss zzz yyyy",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "MM/dd/yyyy HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss Z", "yyyy-MM-dd",
 )
 #: Fixed order of the properties that name a vertex.
 NATURAL_KEYS = ("hostname", "ip", "emailSubject", "userName", "URL", "fileName")
@@ -60,6 +60,11 @@ def base_names(value: Column, separator: str = "/") -> Column:
     return F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda p: F.lower(F.element_at(F.split(p, f"\\Q{separator}\\E"), -1)))
 
 
+def file_names(value: Column) -> Column:
+    """As :func:`base_names`, both kinds of slashes parting a path."""
+    return F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda p: F.lower(F.regexp_extract(p, r"([^/\\\\]*)$", 1)))
+
+
 def dir_name(value: Column) -> Column:
     """A path without its last part; empty if there is no slash."""
     return F.when(value.contains("/"), F.regexp_replace(value, "/[^/]*$", "")).otherwise("")
@@ -76,7 +81,8 @@ def without_domain(value: Column) -> Column:
 
 def log_time(value: Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
     """A time in the first of the formats that fits; null if none does."""
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats])
+    plain = F.regexp_replace(value, "^[A-Z][a-z]{2} (?=[A-Z][a-z]{2} )", "")
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in formats])
 
 
 #: Functions that mappings may name; each takes columns and gives a string or an array of strings.
@@ -85,6 +91,7 @@ REGISTRY: dict[str, Callable[..., Column]] = {
     "windows_user": windows_user,
     "sysmon_user": sysmon_user,
     "base_names": base_names,
+    "file_names": file_names,
     "dir_name": dir_name,
     "first_token": first_token,
     "without_domain": without_domain,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -94,8 +94,15 @@ def _map(entries: Mapping[str, Column]) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(k) for k in entries]), F.array(*entries.values()))
 
 
-def _vertices(n: NodeMap, mapper: Mapper, columns: set[str]) -> Column:
-    values = {k: compile_value(e, mapper, columns) for k, e in n.properties.items()}
+def _valued(df: DataFrame, mapper: Mapper, expressions: Iterable[str], keep: tuple[str, ...]) -> tuple[DataFrame, dict[str, Column]]:
+    """``keep`` and each distinct expression as a column of its own, worked out once a row, and those columns by expression."""
+    names = {e: f"value {n} of the mapping" for n, e in enumerate(dict.fromkeys(expressions))}
+    rows = df.select(*keep, *[compile_value(e, mapper, set(df.columns)).alias(c) for e, c in names.items()])
+    return rows, {e: F.col(f"`{c}`") for e, c in names.items()}
+
+
+def _vertices(n: NodeMap, value: Mapping[str, Column]) -> Column:
+    values = {k: value[e] for k, e in n.properties.items()}
     named = lambda v: _map({**values, n.unique: F.array(v)})
     return F.transform(values[n.unique], lambda v: F.struct(F.lit(n.label).alias("label"), v.alias("identifier"), named(v).alias("properties")))
 
@@ -105,25 +112,28 @@ def map_nodes(df: DataFrame, mapper: Mapper, keep: tuple[str, ...] = ()) -> Data
 
     All mappings are expanded by one explode over one scan. Vertices without a name are left out.
     """
-    arrays = [_vertices(n, mapper, set(df.columns)) for n in mapper.nodes]
-    found = df.select(*keep, F.explode(F.concat(*arrays)).alias("n")).select(*keep, "n.*")
+    rows, value = _valued(df, mapper, [e for n in mapper.nodes for e in n.properties.values()], keep)
+    arrays = [_vertices(n, value) for n in mapper.nodes]
+    found = rows.select(*keep, F.explode(F.concat(*arrays)).alias("n")).select(*keep, "n.*")
     return found.filter(~is_junk(F.col("identifier")))
 
 
-def _ends(mapper: Mapper, columns: set[str], e: EdgeMap) -> tuple[Column, Column, str, str]:
+def _ends(e: EdgeMap) -> tuple[str, str, str, str]:
+    """Expressions and labels of both ends."""
     left, right = END.match(e.left), END.match(e.right)
     if not left or not right:
         raise ValueError(f"an end must read label.property(expression): {e.left}, {e.right}")
-    return compile_value(left["value"], mapper, columns), compile_value(right["value"], mapper, columns), left["label"], right["label"]
+    return left["value"], right["value"], left["label"], right["label"]
 
 
 def _paired(left: Column, right: Column) -> Column:
     return (F.size(left) == 1) | (F.size(right) == 1) | (F.size(left) == F.size(right))
 
 
-def _links(e: EdgeMap, mapper: Mapper, columns: set[str]) -> Column:
-    left, right, src, dst = _ends(mapper, columns, e)
-    values = _map({k: compile_value(x, mapper, columns) for k, x in e.properties.items()})
+def _links(e: EdgeMap, value: Mapping[str, Column]) -> Column:
+    a, b, src, dst = _ends(e)
+    left, right = value[a], value[b]
+    values = _map({k: value[x] for k, x in e.properties.items()})
     at = lambda side, i: F.try_element_at(side, F.least(i, F.size(side)).cast("int"))
     pairs = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(left), F.size(right), F.lit(1))),
@@ -141,8 +151,9 @@ def map_edges(df: DataFrame, mapper: Mapper, keep: tuple[str, ...] = ()) -> Data
     One end of a side goes with all of the other, or both sides go pairwise; sides of unequal
     numbers are left to :func:`unpaired`. Edges with a nameless end are left out.
     """
-    arrays = [_links(e, mapper, set(df.columns)) for e in mapper.edges]
-    found = df.select(*keep, F.explode(F.concat(*arrays)).alias("e")).select(*keep, "e.*")
+    rows, value = _valued(df, mapper, [x for e in mapper.edges for x in (*_ends(e)[:2], *e.properties.values())], keep)
+    arrays = [_links(e, value) for e in mapper.edges]
+    found = rows.select(*keep, F.explode(F.concat(*arrays)).alias("e")).select(*keep, "e.*")
     return found.filter(~is_junk(F.col("src_identifier")) & ~is_junk(F.col("dst_identifier")))
 
 
@@ -151,7 +162,7 @@ def unpaired(df: DataFrame, mapper: Mapper) -> DataFrame:
     columns = set(df.columns)
     bad = []
     for e in mapper.edges:
-        left, right, _, _ = _ends(mapper, columns, e)
+        left, right = (compile_value(x, mapper, columns) for x in _ends(e)[:2])
         bad.append(F.when(~_paired(left, right), F.lit(e.label)))
     labels = F.filter(F.array(*bad), lambda x: x.isNotNull())
     return df.withColumn("unpaired_labels", labels).filter(F.size("unpaired_labels") > 0)

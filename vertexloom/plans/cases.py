@@ -18,6 +18,17 @@ def case_state(log: DataFrame) -> DataFrame:
     )
 
 
+def status_of(log: DataFrame, cases: Sequence[str] | DataFrame) -> DataFrame:
+    """``case_id, status, at`` of the cases asked for: some ids, or a frame of any number of them (``case_id``)."""
+    asked = log.join(cases, "case_id", "left_semi") if isinstance(cases, DataFrame) else log.filter(F.col("case_id").isin(*cases))
+    return asked.groupBy("case_id").agg(F.max_by("status", F.struct("at", "status")).alias("status"), F.max("at").alias("at"))
+
+
+def case_ids(log: DataFrame) -> DataFrame:
+    """``case_id``: every case once."""
+    return log.select("case_id").distinct()
+
+
 def case_nodes(nodes: DataFrame) -> DataFrame:
     """``case_id, nodes``: the vertices of each case as an array of node_id, property, value."""
     return nodes.groupBy("case_id").agg(F.array_sort(F.collect_set(F.struct("node_id", "property", "value"))).alias("nodes"))
@@ -50,6 +61,19 @@ def covering_cases(cases: DataFrame, wanted: Mapping[str, str], start: str, end:
     return found
 
 
+def arrivals(raw: DataFrame, key: str, time_col: str, source_col: str) -> DataFrame:
+    """Tracker rows (as for :func:`next_delta`) of records that have just arrived and wait to be loaded."""
+    waits = F.lit(None).cast("timestamp_ntz").alias("processed_time")
+    return raw.select(F.col(key).alias("row_id"), F.col(time_col).alias("added_time"), waits, F.array(source_col).alias("datasource"))
+
+
+def delta_rows(raw: DataFrame, tracker: DataFrame, time_col: str, source_col: str) -> DataFrame:
+    """The records that :func:`next_delta` says are to be loaded: of its time range and sources, the delta being one row."""
+    delta = next_delta(tracker).filter("status = 'yes'").select("start_time", "end_time", "sources")
+    wanted = F.array_contains("sources", F.lit("all")) | F.array_contains("sources", F.col(source_col))
+    return raw.join(F.broadcast(delta), F.col(time_col).between(F.col("start_time"), F.col("end_time")) & wanted, "left_semi")
+
+
 def next_delta(tracker: DataFrame) -> DataFrame:
     """What waits to be loaded: whether anything does, the time range with some slack, and the sources (``all`` stands for all).
 

@@ -303,9 +303,12 @@ def routed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sources(spark, sf_dir, CATALOG)
 
 
-@_query("SELECT * FROM (VALUES ('conv_id', 'bigint'), ('turn', 'bigint'), ('role', 'string'), ('text', 'string')) x(name, type)")
+@_query("SELECT x.*, n AS non_null FROM (VALUES ('conv_id', 'bigint'), ('turn', 'bigint'), ('role', 'string'), ('text', 'string')) x(name, type) JOIN ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n FROM conversations" for c in ("conv_id", "turn", "role", "text")) + ") USING (name)")
 def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns_of(read(spark, sf_dir, "conversations"))
+    """Columns of a table with their types and how many values they hold."""
+    df = read(spark, sf_dir, "conversations")
+    return columns_of(df).join(su.column_profile(df).select(F.col("column").alias("name"), "non_null"), "name")
 
 
 def _case_log(spark: SparkSession, sf_dir: str) -> DataFrame:
