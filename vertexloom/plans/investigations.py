@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.lineage import cut
@@ -97,8 +97,8 @@ def communicated_after(graph: Graph, starts: DataFrame, window: str, scope: Scop
     both = cut(downloads.withColumn("branch", F.lit(0)).unionByName(second.withColumn("branch", F.lit(1))))
     first_branch = both.agg(F.min("branch").alias("branch"))
     places = both.join(first_branch, "branch", "left_semi")
-    least = F.min("event_time").over(Window.partitionBy("process_id"))
-    first = cut(places.withColumn("first_time", least).select("process_id", "place_id", "first_time").distinct())
+    least = places.groupBy("process_id").agg(F.min("event_time").alias("first_time"))
+    first = cut(places.select("process_id", "place_id").distinct().join(least, "process_id"))
     talk = scope.hop(Traversal(graph, first.select(F.col("place_id").alias("node_id"))), "both", "IPsCommunicated").last.join(timed("IPsCommunicated"), "edge_id")
     near = (F.col("event_time") >= F.col("first_time")) & (F.col("event_time") < F.col("first_time") + F.expr(f"INTERVAL {window}"))
     return first.join(talk, (F.col("place_id") == F.col("prev_id")) & near).select(
