@@ -47,3 +47,34 @@ def test_defined_cases(spark):
     assert by[10].lang_pred == "en" and by[20].lang_pred == "fr"
     assert langid.identify(df.limit(0)).collect() == []
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", df.lang.substr(9, 1)).filter("lang is null")).collect()} == {"und"}
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdeßжлφ"), 5)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 5, 80, 300)] + ["", "x"]
+    model = langid.learn(texts, ["a", "b", "a", "b", "a", "b"])
+    whole = model.presence(texts, model.letters, model.finder)
+    for chunk in (1, 7, 100):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert (model.presence(texts, model.letters, model.finder) == whole).all()
+
+
+def test_finder_is_a_dictionary():
+    codes = np.unique(np.random.default_rng(3).integers(0, 1 << 44, 6000))
+    finder = langid.Finder.of(codes)
+    asked = np.concatenate([codes, np.random.default_rng(4).integers(0, 1 << 44, 20000)])
+    at = {c: i + 1 for i, c in enumerate(codes.tolist())}
+    assert finder.columns(asked).tolist() == [at.get(c, 0) for c in asked.tolist()]
+
+
+def test_many_languages_and_scripts():
+    """Each of 260 languages, a script of 30 letters of its own to most, is told; none is left out for being rare."""
+    rng = np.random.default_rng(1)
+    letters = [chr(0x4E00 + i) for i in range(9000)]
+    words = {f"l{n}": ["".join(rng.choice(letters[n * 30 : n * 30 + 30], 3)) for _ in range(30)] for n in range(260)}
+    text = lambda lang: " ".join(rng.choice(words[lang], 12))
+    langs = [lang for lang in words for _ in range(5)]
+    model = langid.learn([text(lang) for lang in langs], langs)
+    assert len(model.languages) == 260
+    assert model.predict([text(lang) for lang in words])[0] == list(words)

@@ -10,52 +10,103 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import arrow_batches, shield
+from vertexloom.lineage import cut
+from vertexloom.llm.common import arrow_batches, shield, small
 
 #: Labelled texts that are learned from, about this many a language (fewer if there are fewer).
 TEXTS = 300
-#: Languages that are learned, the most frequent first.
-LANGUAGES = 200
-#: Landmark texts a language.
+#: Learned texts of all languages together, about; many languages share them, with ``LEAST`` each at least.
+ALL_TEXTS = 20_000
+LEAST = 5
+#: Landmark texts a language, and of all languages together if there is one for each.
 LANDMARKS = 40
+ALL_LANDMARKS = 4000
 #: Longest n-gram of the blended spectrum, in characters.
 SPECTRUM = 3
-#: Characters that n-grams are made of: the most frequent letters, and one for all else.
-LETTERS = 127
-#: N-grams that the kernel compares, the most widespread first.
+#: N-grams that the kernel compares: an equal share for each language, the most widespread of it first, then those of all.
 NGRAMS = 6000
+#: Slots of the table that finds the compared n-grams.
+SLOTS = 1 << 23
 RIDGE = 0.1
 #: Characters of texts that make one batch of the matrix products.
 CHUNK = 400_000
 
 
 def _grams(texts: list[str], letters: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and code of every n-gram, from one character to ``SPECTRUM``, of the lower-cased texts.
+    """Owner and code of every n-gram, from one character to ``SPECTRUM``, of texts as :func:`_lowered`.
 
-    Characters that are no letters, and the texts' ends, count as one separator; n-grams of
-    one character, and those of more that begin or end with it, take part once each kind.
+    Characters that are no known letters, and the texts' ends, count as one separator; n-grams
+    of one character, and those of more that begin or end with it, take part once each kind.
     """
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.int32)
     for letter, number in letters.items():
         table[ord(letter)] = number
-    lowered = [t.lower() for t in texts]
-    lengths = np.array([len(t) + 1 for t in lowered])
-    points = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = table[points].astype(np.int32)
+    lengths = np.array([len(t) for t in texts])
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = table[points].astype(np.int64)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-    base = LETTERS + 1
+    base = len(letters) + 1
     owners, codes = [], []
-    code = np.zeros(len(s), np.int32)
+    code = np.zeros(len(s), np.int64)
     for n in range(1, SPECTRUM + 1):
-        code = code[: len(s) - n + 1] * base + s[n - 1 :]
+        code = code[: max(len(s) - n + 1, 0)] * base + s[n - 1 :]
         same = owner[: len(code)] == owner[n - 1 :]
         owners.append(owner[: len(code)][same])
         codes.append(code[same] + sum(base**k for k in range(1, n)))
     return np.concatenate(owners), np.concatenate(codes)
 
 
-def _size() -> int:
-    return sum((LETTERS + 1) ** k for k in range(1, SPECTRUM + 1))
+def _lowered(text: str) -> str:
+    """In lower case, with a separator at the end."""
+    return text.lower() + "\n"
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Owners and pieces of texts in lots of about ``CHUNK`` characters.
+
+    Pieces of a long text overlap, so that each of its n-grams is whole in one of them.
+    """
+    owners, pieces, size = [], [], 0
+    for i, text in enumerate(map(_lowered, texts)):
+        for at in range(0, len(text), CHUNK):
+            owners.append(i)
+            pieces.append(text[at : at + CHUNK + SPECTRUM - 1])
+            size += len(pieces[-1])
+            if size >= CHUNK:
+                yield owners, pieces
+                owners, pieces, size = [], [], 0
+    if pieces:
+        yield owners, pieces
+
+
+@dataclass(frozen=True)
+class Finder:
+    """Finds compared n-grams by their codes: a table without collisions among them."""
+
+    codes: np.ndarray
+    factor: int
+    table: np.ndarray
+
+    @staticmethod
+    def of(codes: np.ndarray) -> Finder:
+        for factor in range(0x9E3779B1, 0x9E3779B1 + (1 << 20), 2):
+            slots = Finder._slots(codes, factor)
+            if len(np.unique(slots)) == len(codes):
+                table = np.zeros(SLOTS, np.uint16)
+                table[slots] = np.arange(1, len(codes) + 1)
+                return Finder(codes, factor, table)
+        raise ValueError("too many n-grams for the table")
+
+    @staticmethod
+    def _slots(codes: np.ndarray, factor: int) -> np.ndarray:
+        mixed = codes.astype(np.uint64) * np.uint64(factor)
+        return (mixed ^ (mixed >> np.uint64(29))) & np.uint64(SLOTS - 1)
+
+    def columns(self, codes: np.ndarray) -> np.ndarray:
+        """Column of each code, from 1; 0 if it is not compared."""
+        found = self.table[self._slots(codes, self.factor)].astype(np.int32)
+        found[(found > 0) & (self.codes[found - 1] != codes)] = 0
+        return found
 
 
 @dataclass(frozen=True)
@@ -64,25 +115,27 @@ class KernelClassifier:
 
     languages: list[str]
     letters: dict[str, int]
-    columns: np.ndarray
+    finder: Finder
     landmarks: np.ndarray
     weights: np.ndarray
     offset: np.ndarray
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Normalised kernel between texts and landmarks: shared n-grams over the root of both their numbers."""
-        present = self.presence(texts, self.letters, self.columns)
+        present = self.presence(texts, self.letters, self.finder)
         sizes = np.sqrt(np.maximum(present.sum(axis=1, keepdims=True), 1))
         return (present @ self.landmarks) / sizes
 
     @staticmethod
-    def presence(texts: list[str], letters: dict[str, int], columns: np.ndarray) -> np.ndarray:
+    def presence(texts: list[str], letters: dict[str, int], finder: Finder) -> np.ndarray:
         """Which of the compared n-grams each text has."""
-        owner, code = _grams(texts, letters)
-        column = columns[code]
-        out = np.zeros((len(texts), int(columns.max()) + 1), np.float32)
-        out[owner, column] = 1
-        return out[:, 1:]
+        out = np.zeros((len(texts), len(finder.codes)), np.float32)
+        for owners, pieces in _pieces(texts):
+            owner, code = _grams(pieces, letters)
+            column = finder.columns(code)
+            hit = column > 0
+            out[np.array(owners)[owner[hit]], column[hit] - 1] = 1
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """One-versus-rest scores, a column a language."""
@@ -112,6 +165,26 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def _compared(texts: list[str], langs: list[str], letters: dict[str, int]) -> np.ndarray:
+    """Codes of the n-grams that the kernel compares, in order."""
+    by_lang: dict[str, dict[int, int]] = {}
+    for t, lang in zip(texts, langs, strict=True):
+        spread = by_lang.setdefault(lang, {})
+        for code in np.unique(_grams([_lowered(t)], letters)[1]).tolist():
+            spread[code] = spread.get(code, 0) + 1
+    every: dict[int, int] = {}
+    for spread in by_lang.values():
+        for code, n in spread.items():
+            every[code] = every.get(code, 0) + n
+    first = lambda spread, n: sorted(spread, key=lambda c: (-spread[c], c))[:n]
+    chosen = {c for spread in by_lang.values() for c in first(spread, max(1, NGRAMS // len(by_lang)))}
+    for c in first(every, NGRAMS):
+        if len(chosen) >= NGRAMS:
+            break
+        chosen.add(c)
+    return np.array(sorted(chosen), np.int64)
+
+
 def learn(texts: list[str], langs: list[str]) -> KernelClassifier:
     """Fit landmarks and ridge weights to labelled texts, given in an order that reruns repeat."""
     languages = sorted(set(langs))
@@ -120,17 +193,15 @@ def learn(texts: list[str], langs: list[str]) -> KernelClassifier:
         for c in set(t.lower()):
             if c.isalpha():
                 counts[c] = counts.get(c, 0) + 1
-    letters = {c: i + 1 for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[: LETTERS])}
-    spread = np.zeros(_size(), np.int64)
-    for t in texts:
-        spread[np.unique(_grams([t], letters)[1])] += 1
-    chosen = np.lexsort((np.arange(len(spread)), -spread))[:NGRAMS]
-    columns = np.zeros(len(spread), np.int32)
-    columns[chosen[spread[chosen] > 0]] = np.arange(1, (spread[chosen] > 0).sum() + 1)
-    present = np.concatenate([KernelClassifier.presence([t], letters, columns) for t in texts])
+    letters = {c: i + 1 for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c)))}
+    finder = Finder.of(_compared(texts, langs, letters))
+    present = np.concatenate([KernelClassifier.presence([t], letters, finder) for t in texts])
     sizes = np.sqrt(np.maximum(present.sum(axis=1, keepdims=True), 1))
     unit = present / sizes
-    marks = [i for lang in languages for i in [k for k, x in enumerate(langs) if x == lang][:LANDMARKS]]
+    of = {lang: [] for lang in languages}
+    for i, lang in enumerate(langs):
+        of[lang].append(i)
+    marks = [i for lang in languages for i in of[lang][: max(1, min(LANDMARKS, ALL_LANDMARKS // len(languages)))]]
     landmarks = np.ascontiguousarray(unit[marks].T)
     among = unit[marks] @ landmarks
     values, vectors = np.linalg.eigh(among.astype(np.float64))
@@ -138,13 +209,13 @@ def learn(texts: list[str], langs: list[str]) -> KernelClassifier:
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nyström features are kernel values times this
     features = (unit @ landmarks) @ root
     targets = np.array([[1.0 if x == lang else -1.0 for lang in languages] for x in langs])
-    weight_of = {lang: len(langs) / (len(languages) * langs.count(lang)) for lang in languages}
+    weight_of = {lang: len(langs) / (len(languages) * len(of[lang])) for lang in languages}
     w = np.array([weight_of[x] for x in langs])[:, None]
     mean_f, mean_t = (w * features).sum(0) / w.sum(), (w * targets).sum(0) / w.sum()
     centred = features - mean_f
     solution = np.linalg.solve(centred.T @ (w * centred) + RIDGE * np.eye(features.shape[1]), centred.T @ (w * (targets - mean_t)))
     return KernelClassifier(
-        languages, letters, columns, landmarks.astype(np.float32), (root @ solution).astype(np.float32), (mean_t - mean_f @ solution).astype(np.float32)
+        languages, letters, finder, landmarks.astype(np.float32), (root @ solution).astype(np.float32), (mean_t - mean_f @ solution).astype(np.float32)
     )
 
 
@@ -156,8 +227,8 @@ def held_out(id_col: Column) -> Column:
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Predict the language of every whole text.
 
-    About ``TEXTS`` labelled texts a language, chosen by a hash of the ids among those not
-    held out, are learned from: presence of n-grams of one to ``SPECTRUM`` characters,
+    About ``TEXTS`` labelled texts a language (``ALL_TEXTS`` together, if languages are many),
+    chosen by a hash of ids and texts among those not held out, are learned from, repeats once: presence of n-grams of one to ``SPECTRUM`` characters,
     normalised kernels with ``LANDMARKS`` texts a language, and one-versus-rest ridge
     regression on the Nyström features. Every text is then scored by its n-grams alone, a
     batch at a time, as products of matrices; the language column takes no part.
@@ -173,12 +244,11 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     inner, col, restored = shield(df)
     apart = held_out(col(id_col))
     labelled = inner.filter(~apart & col(lang_col).isNotNull() & col(text_col).rlike(r"\p{L}"))
-    sizes = labelled.groupBy(col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    order = F.pmod(F.xxhash64(col(id_col)), F.lit(1 << 50))
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((col(lang_col) == r.lang) & (order < int((1 << 50) * min(1.0, TEXTS / r["count"]))))
-    rows = labelled.filter(chosen).select(col(lang_col).alias("lang"), col(text_col).alias("text"), order.alias("o")).collect() if sizes else []
+    sizes = cut(labelled.groupBy(col(lang_col).alias("counted")).agg(F.count("*").alias("n_texts")))
+    share = min(TEXTS, max(LEAST, ALL_TEXTS // max(sizes.count(), 1)))
+    order = F.pmod(F.xxhash64(col(id_col), col(text_col)), F.lit(1 << 50))
+    chosen = labelled.join(small(sizes), col(lang_col) == F.col("counted")).filter(order < (F.lit(float(1 << 50)) * F.least(F.lit(1.0), F.lit(float(share)) / F.col("n_texts"))))
+    rows = chosen.select(col(lang_col).alias("lang"), col(text_col).alias("text"), order.alias("o")).dropDuplicates(["lang", "o"]).collect()
     rows.sort(key=lambda r: (r.o, r.lang, r.text))
     model = learn([r.text for r in rows], [r.lang for r in rows]) if rows else None
     sent = spark.sparkContext.broadcast(model)
