@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.lineage import ensure_checkpoint_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Rows of ids (8 bytes and some overhead each) that may be broadcast; larger sides are shuffled.
@@ -44,6 +47,27 @@ def arrow_batches(spark: SparkSession, rows: int = 500, megabytes: int = 4) -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
+def written(df: DataFrame, name: str, rows: int = 500, megabytes: int = 4) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, written now and read again.
+
+    Rows are fixed once a task's files are committed, so numbers that tasks give to their rows
+    hold for all that reads the table. ``rows`` and ``megabytes`` bound the Arrow batches of
+    Python workers while it is written; the session's own bounds come back afterwards.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    arrow_batches(spark, rows, megabytes)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: a Python worker outlives its tasks, beside the executor's heap."""
     pa.default_memory_pool().release_unused()
