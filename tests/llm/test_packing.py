@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 
@@ -45,22 +46,30 @@ def test_plan_of_large_counts_is_small():
     assert sum(p.count * i.size * i.copies for p in groups for i in p.items) == sum(n * (10**12 + n) for n in range(1, 1024))
 
 
-def test_units_have_the_ids_of_the_whole_text():
+def test_ids_are_those_of_the_library():
     reader, library = packing.IdReader(VOCABULARY), Tokenizer.from_file(VOCABULARY)
-    assert reader.by_unit
+    assert reader.quick
     rnd = random.Random(5)
-    parts = ["a", "B7", "é", "don't", "'s", "...", "<|endoftext|>", "12", "\x1c", "\x1f", "漢字", "🙂"] + list(" \t\n\r\x0b\x85\xa0 　  ")
-    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 30))) for _ in range(3000)] + ["", " ", "\n\n", "x" * 5000 + "  \n y", "<|endoftext|> <|endoftext|>\n"]
-    for text, got in zip(texts, reader.ids(texts), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    parts = ["a", "B7", "é", "don't", "'s", "...", "<|endoftext|>", "12", "\x1c", "\x1f", "漢字", "🙂", "aaaa", "hehehe"] + list(" \t\n\r\x0b\x85\xa0\u1680\u2003\u3000\ufeff")
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 30))) for _ in range(3000)] + ["".join(rnd.choices("abcehinorstu ", k=400)) for _ in range(300)]
+    texts += ["", " ", "\n\n", "x" * 50000 + "  \n y", "<|endoftext|> <|endoftext|>\n", " " * 200000 + "a <|endoftext|>", "\n" * 999 + "b"]
+    for text in texts:
+        assert np.frombuffer(reader.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text[:200])
 
 
-def test_other_vocabularies_get_whole_texts():
+def test_other_vocabularies_go_to_the_library(tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     reader, library = packing.IdReader(path), Tokenizer.from_file(path)
-    assert not reader.by_unit
-    texts = ["Some  Words, and MORE.", ""]
-    assert [np.frombuffer(i, "<u4").tolist() for i in reader.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert reader.quick is None
+    for text in ("Some  Words, and MORE.", ""):
+        assert np.frombuffer(reader.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    # "abc" is merged from "a" and "bc", but its bytes merge to "ab" and "c": the quick way would join these.
+    tokens = [*packing.byte_stand_ins(), "ab", "bc", "abc"]
+    odd = tmp_path / "odd.json"
+    odd.write_text(json.dumps({"version": "1.0", "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "model": {"type": "BPE", "vocab": {t: i for i, t in enumerate(tokens)}, "merges": ["a b", "b c", "a bc"]}}))
+    reader = packing.IdReader(str(odd))
+    assert reader.quick is None
+    assert np.frombuffer(reader.ids("abc"), "<u4").tolist() == [256, ord("c")]
 
 
 def held(pieces, texts, capacity=1024):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
@@ -11,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,71 +24,76 @@ from vertexloom.llm.common import small, written
 CAPACITY = 1024
 #: The id that ends every document.
 END_ID = 0
-#: Units of text whose ids a worker keeps; beyond that it begins anew. Longer ones than UNIT_CHARS are not kept.
-KEPT = 300_000
-UNIT_CHARS = 64
 #: Room of less than a pack's 128th part stays as padding: no document is cut for it.
 LEAST_GAP = 128
 #: A visit to an open pack takes up this share of its room at least, if there are items enough.
 VISIT = 8
-#: Fixed: the characters with the Unicode property White_Space.
-_SPACE = "\t-\r \x85\xa0  -     　"
-#: A run of other characters with one space character before it, or what else there is of a run of space.
-_UNIT = regex.compile(f"[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])")
+#: Fixed: how byte-level BPE cuts text before its merges.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of space of this length are left to the library: the quick way's pattern would go too deep.
+LONG_SPACE = 1000
 
 
-class IdReader:
-    """Token ids of texts as little-endian unsigned 32-bit integers.
+def byte_stand_ins() -> list[str]:
+    """The characters that stand for the 256 bytes: printable Latin-1 is itself, the others follow from code point 256."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
 
-    The library encodes units of text, and a worker keeps the ids of those that it has met.
-    Byte-level pre-tokenizing ends a token wherever space follows something else, and of a run
-    of space it gives one character at most to what comes next. So units that begin there have
-    the ids that they have inside the text. Special strings are taken out of a text before.
-    Vocabularies that cut texts in another way are given whole texts.
+class IdReader:
+    """Token ids of texts as little-endian unsigned 32-bit integers, those of ``tokenizers``.
+
+    Plain byte-level vocabularies go the quick way, by tiktoken's merging over the same merges
+    as ranks. That merges any two tokens whose bytes make a token, and the library only the
+    two that the merge names. Both are the same if each token is what its own bytes merge to:
+    when its bytes lie in two neighbours, all merges of lower rank inside them are done, which
+    are those of the bytes alone, so they are the two that its merge names. This is checked
+    for every token. Other vocabularies, and texts with long runs of space, go to the library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        self.by_unit = (
-            before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-            and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding") and not model.get("dropout")
-            and not any(t[k] for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized"))
+        cut, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens", [])
+        self.specials = {t["content"]: t["id"] for t in sorted(added, key=lambda t: -len(t["content"]))}
+        self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
+        self.long_space = re.compile(rf"\s{{{LONG_SPACE}}}")
+        plain = (
+            model["type"] == "BPE" and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+            and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+            and not any(t[k] for t in added for k in ("lstrip", "rstrip", "single_word", "normalized"))
         )
-        specials = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _units(self, text: str) -> list[str]:
-        if not self.special or not self.special.search(text):
-            return _UNIT.findall(text)
+        self.quick = self._ranked(model) if plain else None
+
+    def _ranked(self, model: dict) -> tiktoken.Encoding | None:
+        """The merges as ranks, after the single bytes; None if the two ways of merging might differ."""
+        vocabulary, stand_in = model["vocab"], byte_stand_ins()
+        made = [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+        tokens = [*stand_in, *made]
+        if len(set(tokens)) < len(tokens) or any(t not in vocabulary or len(self.library.model.tokenize(t)) != 1 for t in tokens):
+            return None
+        byte = {c: b for b, c in enumerate(stand_in)}
+        self.of_rank = np.array([vocabulary[t] for t in tokens], "<u4")
+        ranks = {bytes(byte[c] for c in t): rank for rank, t in enumerate(tokens)}
+        return tiktoken.Encoding("ranks", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, text: str) -> bytes:
+        return self.of_rank[np.array(self.quick.encode_ordinary(text), np.int64)].tobytes()
+
+    def ids(self, text: str) -> bytes:
+        if self.quick is None or self.long_space.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.special is None or not self.special.search(text):
+            return self._plain(text)
         out, at = [], 0
         for found in self.special.finditer(text):
-            out += _UNIT.findall(text[at : found.start()])
-            out.append(found.group())
+            out += [self._plain(text[at : found.start()]), np.array([self.specials[found.group()]], "<u4").tobytes()]
             at = found.end()
-        return out + _UNIT.findall(text[at:])
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if not self.by_unit:
-            return self._encode(texts)
-        units = [self._units(t) for t in texts]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known = self.known
-        new = list({u for of_text in units for u in of_text if u not in known})
-        known.update(zip(new, self._encode(new), strict=True))
-        out = [b"".join(map(known.__getitem__, of_text)) for of_text in units]
-        for unit in new:
-            if len(unit) > UNIT_CHARS:
-                del known[unit]
-        return out
+        return b"".join([*out, self._plain(text[at:])])
 
 
 @lru_cache(maxsize=2)
@@ -260,7 +266,7 @@ def tokenized(df: DataFrame, vocabulary: str, text_col: str = "text", capacity:
         reader, part = _reader(name), TaskContext.get().partitionId()
         full, ranks = 0, Counter()
         for batch in batches:
-            ids = [i + end for i in reader.ids([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])]
+            ids = [reader.ids(t or "") + end for t in batch.column(batch.num_columns - 1).to_pylist()]
             rows = []
             for i in ids:
                 n = len(i) // 4
