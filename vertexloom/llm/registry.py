@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import contamination, exact, langid, licenses, mixing, packing, pii, quality, simhash, tokens, urlrules, whitening
+from vertexloom.llm import contamination, exact, langid, licenses, mixing, packing, phrases, pii, quality, simhash, tokens, urlrules, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(_read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -83,10 +87,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
     "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
     "op13_packing": op13_packing,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Phrases of one to five words in pieces of words, a row for each occurrence.
+_GRAMS = " UNION ALL ".join(
+    f"SELECT lang, {k} AS m, array_to_string(ws[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k} + 2)) AS i FROM w WHERE len(ws) >= {k})"
+    for k in range(1, 6)
+)
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": f"""
@@ -144,4 +154,22 @@ SQL: dict[str, str] = {
                    OR regexp_matches(url, '[?&]redirect=https?:', 'i') OR regexp_matches(url, '\.exe([?#]|$)', 'i')
                    THEN 'block' ELSE 'allow' END) AS verdict
         FROM p LEFT JOIN f USING (page_id)""",
+    "op12_collocations": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        g AS ({_GRAMS}),
+        t AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+        f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY lang, m, phrase HAVING count(*) >= 100),
+        c AS (SELECT lang, m, phrase, a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+        s AS (SELECT c.lang, c.m, c.phrase, c.a, c.k, l.a AS l, r.a AS r, t.n, ((1000::hugeint * c.a * t.n) // (l.a::hugeint * r.a))::bigint AS score
+              FROM c JOIN t USING (lang)
+              JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[1:k], ' ')
+              JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ')),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        i AS (SELECT lang, a, array_to_string(string_split(phrase, ' ')[o:o + z - 1], ' ') AS inner_phrase
+              FROM (SELECT *, unnest(range(1, m - z + 2)) AS o FROM (SELECT *, unnest(range(2, m)) AS z FROM f WHERE m > 2))),
+        x AS (SELECT lang, inner_phrase, max(a) AS longer FROM i GROUP BY lang, inner_phrase),
+        o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
+              FROM b LEFT JOIN x ON x.lang = b.lang AND x.inner_phrase = b.phrase WHERE x.longer IS NULL OR 100 * x.longer < 100 * b.a)
+        SELECT lang, rank, phrase, a, l, r, n::bigint AS n, score FROM o WHERE rank <= 2000""",
 }
