@@ -15,16 +15,23 @@ class Graph:
     """``vertices``: node_id, label, properties. ``edges``: edge_id, src_id, dst_id, label, properties, event_time, source.
 
     Properties are maps of string arrays; an edge's time and source are columns of their own,
-    so that filters on them reach the scan.
+    so that filters on them reach the scan. Edges that are stored in ``buckets`` by their
+    source vertex have the partition columns ``day`` and ``bucket`` beside.
     """
 
     vertices: DataFrame
     edges: DataFrame
+    buckets: int | None = None
 
     def labelled(self, label: str | None) -> DataFrame:
         return self.edges if label is None else self.edges.filter(F.col("label") == label)
 
 
+def bucket_of(key: Column, buckets: int) -> Column:
+    """The bucket of an id in tables that are stored in buckets."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 def properties(**values: Column) -> Column:
     """A property map of one-element arrays; null values are left out."""
     pairs = F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[v.cast("string") for v in values.values()]))

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Value = str | int | float | dt.datetime
+Value = str | int | float | dt.datetime | dt.date
 
 
 @dataclass(frozen=True)
@@ -76,6 +76,8 @@ def _typed(value: Column, literal: Value) -> Column:
     """Compare as the literal's type: numbers as numbers, times as times; what does not parse is null."""
     if isinstance(literal, dt.datetime):
         return value.try_cast("timestamp_ntz")
+    if isinstance(literal, dt.date):
+        return value.try_cast("date")
     return value if isinstance(literal, str) else value.try_cast("double")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.lineage import cut
-from vertexloom.operators.graph import Graph
+from vertexloom.operators.graph import Graph, bucket_of
 from vertexloom.operators.predicates import P, Value, matches, property_matches
 
 MAX_DEPTH = 10
@@ -47,7 +47,7 @@ class Traversal:
     def with_(self, key: str, test: P | Value) -> Traversal:
         """Keep vertices, or edges after an edge step, of which a value of the property passes."""
         if self.pending:
-            if key in ("event_time", "source"):
+            if key in ("event_time", "source", "day"):
                 return self._edge_filter(matches(test)(F.col(key)))  # a null is no match, and plain comparisons reach the scan
             return self._edge_filter(property_matches("properties", key, test))
         return self._vertex_filter(property_matches("properties", key, test))
@@ -161,15 +161,18 @@ class Traversal:
         """Each edge at the frontier once for each direction in which it is crossed."""
         edges = reduce(lambda e, c: e.filter(c), hop.filters, self.graph.labelled(hop.label))
         ids = self.frontier()
-        ways = [("out", "src_id", "dst_id"), ("in", "dst_id", "src_id")]
-        frames = [
-            edges.join(ids, edges[near] == ids["node_id"], "left_semi").select(
-                F.col(near).alias("prev_id"), F.col(far).alias("cur_id"), "edge_id", F.lit(way).alias("direction"), F.col("label").alias("edge_label")
-            )
-            for way, near, far in ways
-            if hop.direction in (way, "both")
-        ]
-        return reduce(DataFrame.unionByName, frames)
+        if self.graph.buckets and hop.direction == "out":  # stored by source vertex: other buckets are not read
+            found = [r.bucket for r in ids.select(bucket_of(F.col("node_id"), self.graph.buckets).alias("bucket")).distinct().collect()]
+            edges = edges.filter(F.col("bucket").isin(found))
+        held = ("edge_id", F.col("label").alias("edge_label"))
+        ways = {"out": ("src_id", "dst_id"), "in": ("dst_id", "src_id")}
+        if hop.direction != "both":
+            near, far = ways[hop.direction]
+            ends = edges.select(F.col(near).alias("prev_id"), F.col(far).alias("cur_id"), *held, F.lit(hop.direction).alias("direction"))
+        else:
+            end = [F.struct(F.col(near).alias("prev_id"), F.col(far).alias("cur_id"), F.lit(way).alias("direction")) for way, (near, far) in ways.items()]
+            ends = edges.select(*held, F.explode(F.array(*end)).alias("end")).select("end.*", "edge_id", "edge_label")
+        return ends.join(ids, ends["prev_id"] == ids["node_id"], "left_semi").select("prev_id", "cur_id", "edge_id", "direction", "edge_label")
 
     # Branches and repeats
 

@@ -30,6 +30,8 @@ class Scope:
         step = {"out": at.outE, "in": at.inE, "both": at.bothE}[direction](self.label(edge))
         if self.time:
             step = step.with_("event_time", P.between(*self.time))
+            if "day" in at.graph.edges.columns:  # a partition column: other days are not read
+                step = step.with_("day", P.between(*[t.date() for t in self.time]))
         if self.sources:
             step = step.with_("source", P.within(list(self.sources)))
         return {"out": step.inV, "in": step.outV, "both": step.otherV}[direction](self.label(vertex))

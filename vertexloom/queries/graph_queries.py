@@ -23,7 +23,7 @@ _SPAN = str(SPAN)
 #: The graph as SQL views: v(node_id, label, name, status, segment, size) and e(edge_id, src_id, dst_id, label, event_time, source, quantity).
 GRAPH_SQL = f"""
     k(name, n) AS (VALUES ('click', 1), ('error', 2), ('purchase', 3), ('signup', 4), ('view', 5)),
-    v AS (
+    v AS MATERIALIZED (
         SELECT 1 * {_SPAN} + c_custkey AS node_id, 'customer' AS label, c_name AS name, NULL AS status, c_mktsegment AS segment, NULL AS size FROM customer
         UNION ALL SELECT 2 * {_SPAN} + o_orderkey, 'order', NULL, o_orderstatus, NULL, NULL FROM orders
         UNION ALL SELECT 3 * {_SPAN} + p_partkey, 'part', p_name, NULL, NULL, p_size FROM part
@@ -32,7 +32,7 @@ GRAPH_SQL = f"""
         UNION ALL SELECT 6 * {_SPAN} + r_regionkey, 'region', r_name, NULL, NULL, NULL FROM region
         UNION ALL SELECT DISTINCT 7 * {_SPAN} + user_id, 'user', 'user' || user_id, NULL, NULL, NULL FROM events
         UNION ALL SELECT DISTINCT 8 * {_SPAN} + n, 'event_type', name, NULL, NULL, NULL FROM events JOIN k ON event_type = name),
-    e AS (
+    e AS MATERIALIZED (
         SELECT 'placed:' || o_orderkey AS edge_id, 1 * {_SPAN} + o_custkey AS src_id, 2 * {_SPAN} + o_orderkey AS dst_id, 'placed' AS label,
                o_orderdate AS event_time, 'orders' AS source, NULL::bigint AS quantity FROM orders
         UNION ALL SELECT 'contains:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || strftime(l_shipdate, '%Y-%m-%d'),
@@ -62,7 +62,7 @@ def _hop(name: str, before: str, lvl: int, ways: str, where: str = "TRUE") -> st
         for way, near, far in (("out", "src_id", "dst_id"), ("in", "dst_id", "src_id"))
         if ways in (way, "both")
     ]
-    return f", {name} AS ({' UNION ALL '.join(parts)})"
+    return f", {name} AS MATERIALIZED ({' UNION ALL '.join(parts)})"
 
 
 _COLUMNS = "src_id, dst_id, direction, lvl, edge_id, edge_label"
