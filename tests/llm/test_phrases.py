@@ -102,9 +102,14 @@ def test_one_trie_or_many(spark, monkeypatch):
 
 
 def test_filters_of_dense_and_sparse_chunks():
-    counters = phrases._Counters()
-    buckets = np.concatenate([np.arange(70000), np.arange(0, 1 << 22, 5000), np.full(300, 9)])
-    counters.add(buckets)
-    total = np.bincount(buckets, minlength=1 << 22)
+    bits = 22
+    counters = phrases._Counters(bits)
+    buckets = np.concatenate([np.arange(70000), np.arange(0, 1 << bits, 5000), np.full(300, 9)])
+    hashes = (buckets.astype(np.uint64) << np.uint64(64 - bits)).view(np.int64)
+    for _ in range(2):
+        counters.add(hashes)
+    total = 2 * np.bincount(buckets, minlength=1 << bits)
     for k, part in counters.chunks():
         assert (phrases._unpacked(part) == np.minimum(total[k << 16 : (k + 1) << 16], 255)).all()
+    through = phrases.Filter(np.packbits(total >= 4))
+    assert (through(hashes) == (total[buckets] >= 4)).all() and not through(hashes).all()

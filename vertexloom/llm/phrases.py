@@ -28,9 +28,13 @@ SLICE = 1 << 22
 BLOCK = 1 << 20
 #: Words that a task counts before it passes their counts on.
 HELD_WORDS = 500_000
-#: Counters of a filter: 2^16 in a chunk. Filters only let more candidates through if they are too few.
+#: Counters of a filter: at least and at most 2 to these powers, 2^16 in a chunk, about one for ``BUCKET_WORDS`` words of the
+#: corpus. Filters with too few only let more candidates through.
+BUCKET_BITS = (20, 26)
+BUCKET_WORDS = 4
 CHUNK_BITS = 16
-BUCKET_BITS = 22
+#: Groups of candidates by a hash of their first two words.
+GROUPS = 256
 #: Phrases of one trie; more of them are dealt to several tries, a pass over the codes each.
 TRIE_PHRASES = 1_000_000
 #: Parts in which a language's phrases are ranked before the first of each are ranked together.
@@ -146,11 +150,22 @@ def _mixed(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+@dataclass(frozen=True)
+class Filter:
+    """Which buckets of hashes let a phrase through, a bit each."""
+
+    bits: np.ndarray
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        bucket = _bucket(hashes, (8 * len(self.bits)).bit_length() - 1)
+        return (self.bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 == 1
+
 
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
-def _passes(codes: np.ndarray, starts: int, filters: dict[int, np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+
+def _passes(codes: np.ndarray, starts: int, filters: dict[int, Filter], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Phrases that no filter rules out: for each length their starts and hashes.
 
     A phrase passes if its beginning and its end, a word shorter each, pass the filter of
@@ -158,14 +173,14 @@ def _passes(codes: np.ndarray, starts: int, filters: dict[int, np.ndarray], long
     let it through if there is one.
     """
     hashes = codes
-    ok = (codes != 0) & filters[1][_bucket(_mixed(np.zeros_like(codes), codes))]
+    ok = (codes != 0) & filters[1](_mixed(np.zeros_like(codes), codes))
     for length in range(2, longest + 1):
         ok = ok[:-1] & ok[1:]
         hashes = _mixed(hashes[:-1], codes[length - 1 :])
         at = np.flatnonzero(ok)
         own = hashes[at]
         if length in filters:
-            through = filters[length][_bucket(own)]
+            through = filters[length](own)
             ok[at[~through]] = False
             at, own = at[through], own[through]
         begins = at < starts
@@ -173,28 +188,30 @@ def _passes(codes: np.ndarray, starts: int, filters: dict[int, np.ndarray], long
 
 
 class _Counters:
-    """Counts by bucket, in numpy, a few million phrases at a time."""
+    """Counts of hashes by bucket, up to 255, in numpy, a few million phrases at a time."""
 
-    def __init__(self):
-        self.total = np.zeros(1 << BUCKET_BITS, np.int64)
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.total = np.zeros(1 << bits, np.uint8)
         self.waiting: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, buckets: np.ndarray) -> None:
-        self.waiting.append(buckets)
-        self.size += len(buckets)
-        if self.size > 1 << BUCKET_BITS:
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append(_bucket(hashes, self.bits).astype(np.int32))
+        self.size += len(hashes)
+        if self.size > 1 << 22:
             self.flush()
 
     def flush(self) -> None:
         if self.size:
-            self.total += np.bincount(np.concatenate(self.waiting), minlength=len(self.total))
+            at, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            self.total[at] = np.minimum(self.total[at] + n, 255)
             self.waiting, self.size = [], 0
 
     def chunks(self) -> Iterator[tuple[int, bytes]]:
-        """Chunks with counts of 255 at most, as they are or as places and counts, whichever is shorter."""
+        """Chunks as they are, or as places and counts, whichever is shorter."""
         self.flush()
-        for k, chunk in enumerate(np.minimum(self.total, 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)):
+        for k, chunk in enumerate(self.total.reshape(-1, 1 << CHUNK_BITS)):
             at = np.flatnonzero(chunk)
             if len(at):
                 sparse = 3 * len(at) < len(chunk)
@@ -219,30 +236,26 @@ def _part_rows(counters: dict[int, _Counters]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([k], pa.int32()), pa.array([part], pa.binary())], ["level", "chunk", "part"])
 
 
-def _filters(parts: DataFrame, least: int) -> dict[int, np.ndarray]:
-    """By level, the buckets whose counts of all tasks together reach ``least``: 2^BUCKET_BITS bits each, whatever the input."""
+def _filters(parts: DataFrame, least: int, bits: int, levels: range) -> dict[int, Filter]:
+    """By level, the buckets whose counts of all tasks together reach ``least`` (255 at most): 2^bits bits each."""
+    least = min(least, 255)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for level, k, part in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                have = _unpacked(part)
-                key = (level, k)
-                totals[key] = np.minimum(totals[key] + have, least) if key in totals else have
+                have = totals.get((level, k))
+                total = np.minimum(_unpacked(part) + (0 if have is None else have), 255)
+                totals[(level, k)] = total.astype(np.uint8)
         for (level, k), total in totals.items():
-            bits = np.packbits(total >= least).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([k], pa.int32()), pa.array([bits], pa.binary())], ["level", "chunk", "part"])
-
-    found: dict[int, np.ndarray] = {}
-    for r in parts.repartition("level", "chunk").mapInArrow(add, _PARTS).collect():
-        bits = found.setdefault(r.level, np.zeros((1 << BUCKET_BITS) // 8, np.uint8))
-        width = (1 << CHUNK_BITS) // 8
-        bits[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(bytes(r.part), np.uint8)
-    return found
+            found = np.packbits(total >= least).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([k], pa.int32()), pa.array([found], pa.binary())], ["level", "chunk", "part"])
 
-
-def _unpack_filters(sent) -> dict[int, np.ndarray]:
-    return {level: np.unpackbits(bits).view(bool) for level, bits in sent.value.items()}
+    found = {level: np.zeros((1 << bits) // 8, np.uint8) for level in levels}
+    width = (1 << CHUNK_BITS) // 8
+    for r in parts.repartition("level", "chunk").mapInArrow(add, _PARTS).toLocalIterator():
+        found[r.level][r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(bytes(r.part), np.uint8)
+    return {level: Filter(bits) for level, bits in found.items()}
 
 
 @dataclass(frozen=True)
@@ -339,108 +352,160 @@ def _distinct(codes: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
     return at[first]
 
 
-def _candidates(blocks: DataFrame, frequent: DataFrame, least: int, longest: int) -> DataFrame:
-    """Phrases (binary codes) whose parts may all be frequent, each once.
+def _group(phrases: np.ndarray) -> np.ndarray:
+    """Groups of phrases by their first two words."""
+    return (_mixed(_mixed(np.zeros(len(phrases), np.int64), phrases[:, 0]), phrases[:, 1]) % np.uint64(GROUPS)).astype(np.int64)
+
+
+class _Phrases:
+    """Distinct phrases by length and group."""
+
+    def __init__(self):
+        self.held: dict[tuple[int, int], list[np.ndarray]] = {}
+        self.rows = 0
+
+    def add(self, length: int, group: int, phrases: np.ndarray) -> None:
+        self.held.setdefault((length, group), []).append(phrases)
+        self.rows += len(phrases)
+        if self.rows > TRIE_PHRASES:
+            self.rows = 0
+            for key, parts in self.held.items():
+                self.held[key] = [self._distinct(key[0], parts)]
+
+    @staticmethod
+    def _distinct(length: int, parts: list[np.ndarray]) -> np.ndarray:
+        whole = np.ascontiguousarray(np.concatenate(parts))
+        return np.unique(whole.view(f"V{8 * length}").ravel()).view(np.int64).reshape(-1, length)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for (length, group), parts in self.held.items():
+            found = self._distinct(length, parts)
+            columns = [pa.array([length], pa.int32()), pa.array([group], pa.int32()), pa.array([len(found)], pa.int64()), pa.array([found.astype("<i8").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["length", "group", "n", "phrases"])
+
+
+_PHRASES = "length int, group int, n long, phrases binary"
+
+
+def _read_blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
+    for block, starts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+        yield np.frombuffer(block.as_buffer(), "<i8").astype(np.int64), starts
+
 
-    Filters of fixed size, upper bounds of counts by hash, stand in for counts: of frequent
-    words, of pairs of such, and of longer phrases all of whose pairs pass. What passes the
-    filters of its own length and of its shorter phrases is a candidate.
+def _candidates(blocks: DataFrame, frequent: DataFrame, words: int, least: int, longest: int) -> DataFrame:
+    """Phrases whose parts may all be frequent, each once: arrays of codes by length and group (:class:`_Phrases`).
+
+    Filters, upper bounds of counts by hash, stand in for counts: of frequent words, of pairs
+    of such, and of longer phrases all of whose pairs pass. What passes the filters of its own
+    length and of its shorter phrases is a candidate.
     """
     spark = blocks.sparkSession
+    bits = min(max((words // BUCKET_WORDS).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = {1: _Counters()}
+        counters = {1: _Counters(bits)}
         for batch in batches:
             codes = np.asarray(batch.column(0)).astype(np.int64)
-            counters[1].add(_bucket(_mixed(np.zeros_like(codes), codes)))
+            counters[1].add(_mixed(np.zeros_like(codes), codes))
         yield from _part_rows(counters)
 
-    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
-        for block, starts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            yield np.frombuffer(block.as_buffer(), "<i8").astype(np.int64), starts
-
     def counting(levels: range, sent):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters, counters = _unpack_filters(sent), {level: _Counters() for level in levels}
+            counters = {level: _Counters(bits) for level in levels}
             for batch in batches:
-                for codes, starts in read(batch):
-                    for length, _, hashes in _passes(codes, starts, filters, levels[-1]):
+                for codes, starts in _read_blocks(batch):
+                    for length, _, hashes in _passes(codes, starts, sent.value, levels[-1]):
                         if length in counters:
-                            counters[length].add(_bucket(hashes))
+                            counters[length].add(hashes)
             yield from _part_rows(counters)
 
         return count
 
-    filters = _filters(frequent.select("h").mapInArrow(of_words, _PARTS), 1)
-    filters.setdefault(1, np.zeros((1 << BUCKET_BITS) // 8, np.uint8))
+    filters = _filters(frequent.select("h").mapInArrow(of_words, _PARTS), 1, bits, range(1, 2))
     for levels in (range(2, 3), range(3, longest + 1)):
         if levels:
             sent = spark.sparkContext.broadcast(filters)
-            found = _filters(blocks.mapInArrow(counting(levels, sent), _PARTS), least)
-            filters = filters | {level: found.get(level, np.zeros((1 << BUCKET_BITS) // 8, np.uint8)) for level in levels}
+            filters = filters | _filters(blocks.mapInArrow(counting(levels, sent), _PARTS), least, bits, levels)
             sent.unpersist()
     sent = spark.sparkContext.broadcast(filters)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _unpack_filters(sent)
+        found = _Phrases()
         for batch in batches:
-            for codes, starts in read(batch):
-                for length, at, _ in _passes(codes, starts, known, longest):
+            for codes, starts in _read_blocks(batch):
+                for length, at, _ in _passes(codes, starts, sent.value, longest):
                     at = _distinct(codes, length, at)
-                    flat = np.ascontiguousarray(codes[at[:, None] + np.arange(length)]).astype("<i8")
-                    offsets = np.arange(len(at) + 1, dtype=np.int32) * (8 * length)
-                    phrases = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
-                    yield pa.RecordBatch.from_arrays([phrases], ["phrase"])
+                    group = _group(codes[at[:, None] + np.arange(2)])
+                    order = np.argsort(group, kind="stable")
+                    phrases = codes[at[order][:, None] + np.arange(length)]
+                    for part in np.split(phrases, np.flatnonzero(np.diff(group[order])) + 1) if len(at) else ():
+                        found.add(length, int(_group(part[:1])[0]), part)
+        yield from found.batches()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Phrases()
+        for batch in batches:
+            for length, group, _, phrases in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                found.add(length, group, np.frombuffer(phrases, "<i8").astype(np.int64).reshape(-1, length))
+        yield from found.batches()
 
-    return written(blocks.mapInArrow(emit, "phrase binary").distinct(), "phrase-candidates")
+    return written(blocks.mapInArrow(emit, _PHRASES).repartition("group").mapInArrow(merge, _PHRASES), "phrase-candidates")
 
 
 def _counted(blocks: DataFrame, candidates: DataFrame, least: int, longest: int) -> DataFrame:
-    """Candidates with ``least`` occurrences or more: ``phrase`` (number), ``codes`` (array of long), ``a``."""
+    """Candidates with ``least`` occurrences or more: ``phrase`` (its name), ``codes`` (array of long), ``a``."""
     spark = blocks.sparkSession
-    parts = max(1, -(-candidates.count() * 5 // 4 // TRIE_PHRASES))
-    dealt = candidates.withColumn("part", F.pmod(F.xxhash64(F.substring("phrase", 1, 16)), F.lit(parts)).cast("int"))
-
-    def build(key: tuple, table: pa.Table) -> pa.Table:
-        phrases = np.zeros((table.num_rows, longest), np.int64)
-        for i, p in enumerate(table.column("phrase").to_pylist()):
-            phrases[i, : len(p) // 8] = np.frombuffer(p, "<i8")
-        trie, states = Trie.build(phrases)
-        none = [None] * len(states)
-        return pa.table(
-            {
-                "part": pa.array([key[0].as_py()] * (len(states) + 1), pa.int32()), "state": pa.array([*states.tolist(), None], pa.int64()),
-                "codes": pa.array([*[r[r != 0] for r in phrases], None], pa.list_(pa.int64())), "trie": pa.array([*none, pickle.dumps(trie)], pa.binary()),
-            }
-        )
-
-    tries = written(dealt.groupBy("part").applyInArrow(build, "part int, state long, codes array<long>, trie binary"), "phrase-tries")
-    counted = None
-    for part in range(parts):
-        row = tries.filter((F.col("part") == part) & F.col("trie").isNotNull()).select("trie").first()
-        if row is None:
-            continue
-        sent = spark.sparkContext.broadcast(bytes(row.trie))
+    total = candidates.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    parts = min(GROUPS, max(1, -(-total * 5 // 4 // TRIE_PHRASES)))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for length, group, n, phrases in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                padded = np.zeros((n, longest), np.int64)
+                padded[:, :length] = np.frombuffer(phrases, "<i8").reshape(-1, length)
+                held.setdefault(group % parts, []).append(padded)
+        for part, arrays in held.items():
+            phrases = np.concatenate(arrays)
+            trie, states = Trie.build(phrases)
+            yield from _trie_rows(part, phrases, trie, states)
+
+    dealt = candidates.repartition(parts, F.col("group") % parts)
+    tries = written(dealt.mapInArrow(build, "part int, state long, codes array<long>, trie binary"), "phrase-tries", rows=10_000)
+    counted = tries.select("part", "state", F.lit(0).cast("long").alias("a")).limit(0)
+    there = [r.part for r in tries.select("part").distinct().collect()]
+    for part in sorted(there):
+        sent = spark.sparkContext.broadcast(bytes(tries.filter((F.col("part") == part) & F.col("state").isNull()).select("trie").collect()[0].trie))
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent, longest=longest) -> Iterator[pa.RecordBatch]:
             trie: Trie = pickle.loads(sent.value)  # noqa: S301  written by build()
             total = np.zeros(len(trie.base), np.int64)
             for batch in batches:
-                for block, starts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                    total += trie.visits(np.frombuffer(block.as_buffer(), "<i8").astype(np.int64), starts, longest)
+                for codes, starts in _read_blocks(batch):
+                    total += trie.visits(codes, starts, longest)
             states = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(states, pa.int64()), pa.array(total[states], pa.int64())], ["state", "n"])
 
         sums = blocks.mapInArrow(count, "state long, n long").groupBy("state").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-        sums = written(sums.withColumn("part", F.lit(part)), "phrase-counts")
+        counted = counted.unionByName(written(sums.withColumn("part", F.lit(part)), "phrase-counts"))
         sent.unpersist()
-        counted = sums if counted is None else counted.unionByName(sums)
-    named = tries.filter(F.col("trie").isNull()).select("part", "state", "codes")
-    if counted is None:
-        return named.limit(0).select(F.lit("").alias("phrase"), "codes", F.lit(0).cast("long").alias("a"))
+    named = tries.filter(F.col("state").isNotNull()).select("part", "state", "codes")
     return named.join(counted, ["part", "state"]).select(F.concat_ws(":", "part", "state").alias("phrase"), "codes", "a")
 
 
+def _trie_rows(part: int, phrases: np.ndarray, trie: Trie, states: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The states of phrases, and one row without a state that holds the trie."""
+    names = ["part", "state", "codes", "trie"]
+    lengths = (phrases != 0).sum(axis=1)
+    for at in range(0, len(states), 10_000):
+        own, n = phrases[at : at + 10_000], lengths[at : at + 10_000]
+        codes = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(own[own != 0], pa.int64()))
+        columns = [pa.array([part] * len(own), pa.int32()), pa.array(states[at : at + 10_000], pa.int64()), codes, pa.nulls(len(own), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names)
+    columns = [pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([pickle.dumps(trie)], pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, names)
+
+
 def _words(df: DataFrame, lang_col: str, text_col: str, longest: int) -> tuple[DataFrame, DataFrame]:
     """Blocks of codes, and ``lang, word, h, n`` of all words; codes are taken anew in the rare case that two words share one."""
     for seed in range(10):
@@ -480,7 +545,8 @@ def collocations(
     blocks, words = _words(df, lang_col, text_col, longest)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.filter(F.col("n") >= least)
-    counted = _counted(blocks, _candidates(blocks, frequent, least, longest), least, longest)
+    all_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    counted = _counted(blocks, _candidates(blocks, frequent, all_words, least, longest), least, longest)
     single = counted.select("phrase", "a", F.posexplode("codes").alias("pos", "h")).join(small(frequent.select("lang", "word", "h")), "h")
     gathered = single.groupBy("phrase", "a", "lang").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w"))
     phrases = written(gathered.select("lang", F.col("w.word").alias("words"), "a"), "phrases").withColumn("phrase", F.array_join("words", " "))
