@@ -69,10 +69,10 @@ _LINES = {
 def _security(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     if kind in _FIELDS:
-        return events.selectExpr("event_id AS record", *[f"{e} AS {c}" for c, e in _FIELDS[kind].items()])
+        return events.selectExpr("event_id AS record", "ts AS event_ts", *[f"{e} AS {c}" for c, e in _FIELDS[kind].items()])
     fields, held = _LINES[kind]
     line = F.concat_ws(",", *[F.expr(f"CAST({held[f]} AS STRING)") if f in held else F.lit("") for f in fields])
-    rows = logs.split_fields(events.select(F.col("event_id").alias("record"), line.alias("line")), "line", fields).drop("line")
+    rows = logs.split_fields(events.select(F.col("event_id").alias("record"), F.col("ts").alias("event_ts"), line.alias("line")), "line", fields).drop("line")
     return logs.firewall_fields(rows, "msg") if kind == "firewall" else rows
 
 
