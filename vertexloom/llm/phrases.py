@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import lower_ascii, small, written
+from vertexloom.llm.common import lower_ascii, release_memory, small, written
 
 LEAST_COUNT = 100
 LONGEST = 5
@@ -24,14 +24,14 @@ ABSORBED = 100
 #: What ends a piece of text; words are what stands between spaces and tabs.
 PIECE_END = r"[.,;:!?\x0A-\x0D]"
 #: Characters that are split into words at once, and words of a block of codes.
-SLICE = 1 << 22
+SLICE = 1 << 20
 BLOCK = 1 << 20
 #: Words that a task counts before it passes their counts on.
-HELD_WORDS = 500_000
+HELD_WORDS = 300_000
 #: Counters of a filter: at least and at most 2 to these powers, 2^16 in a chunk, about one for ``BUCKET_WORDS`` words of the
 #: corpus. Filters with too few only let more candidates through.
 BUCKET_BITS = (20, 26)
-BUCKET_WORDS = 4
+BUCKET_WORDS = 16
 CHUNK_BITS = 16
 #: Groups of candidates by a hash of their first two words.
 GROUPS = 256
@@ -137,6 +137,7 @@ def encoded(df: DataFrame, lang_col: str, text_col: str, seed: int, longest: int
                 yield from counts()
         yield from counts()
         yield from blocks(True)
+        release_memory()
 
     texts = df.select(F.coalesce(df[lang_col].cast("string"), F.lit("und")).alias("lang"), lower_ascii(df[text_col]).alias("text"))
     return written(texts.mapInArrow(encode, _CODED), "phrase-codes", rows=1000, megabytes=4)
@@ -418,6 +419,8 @@ def _candidates(blocks: DataFrame, frequent: DataFrame, words: int, least: int,
                         if length in counters:
                             counters[length].add(hashes)
             yield from _part_rows(counters)
+            counters.clear()
+            release_memory()
 
         return count
 
@@ -441,6 +444,8 @@ def _candidates(blocks: DataFrame, frequent: DataFrame, words: int, least: int,
                     for part in np.split(phrases, np.flatnonzero(np.diff(group[order])) + 1) if len(at) else ():
                         found.add(length, int(_group(part[:1])[0]), part)
         yield from found.batches()
+        found.held.clear()
+        release_memory()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Phrases()
@@ -484,6 +489,7 @@ def _counted(blocks: DataFrame, candidates: DataFrame, least: int, longest: int)
                 for codes, starts in _read_blocks(batch):
                     total += trie.visits(codes, starts, longest)
             states = np.flatnonzero(total)
+            release_memory()
             yield pa.RecordBatch.from_arrays([pa.array(states, pa.int64()), pa.array(total[states], pa.int64())], ["state", "n"])
 
         sums = blocks.mapInArrow(count, "state long, n long").groupBy("state").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
