@@ -61,6 +61,40 @@ def covering_cases(cases: DataFrame, wanted: Mapping[str, str], start: str, end:
     return found
 
 
+def _pairs(items: str, key: str, value: str) -> Column:
+    return F.transform(F.coalesce(items, F.array()), lambda x: F.struct(x[key].alias("k"), F.lower(x[value]).alias("v")))
+
+
+def covered_requests(cases: DataFrame, requests: DataFrame) -> DataFrame:
+    """``request_id, case_id``: for each of many requests the cases that already hold its export, as :func:`covering_cases` says.
+
+    ``requests``: request_id, query (array of propertyKey, propertyValue), query_start,
+    query_end, datasources (array). ``cases``: case_id, query, nodes, query_start, query_end,
+    datasources.
+
+    A join by containment of sets. All pairs of property and value are counted over the cases;
+    a request meets the cases only under the rarest of its pairs, and a case covers it if it
+    has as many of its pairs as it asks for. A pair that no case has rules its request out
+    before any join. Defined cases: letters of values may differ in case; a pair asked for
+    twice counts once; a request without pairs, or with a null in one, is covered by none.
+    """
+    held = cases.select("case_id", F.explode(F.array_distinct(F.concat(_pairs("query", "propertyKey", "propertyValue"), _pairs("nodes", "property", "value")))).alias("p")).select("case_id", "p.*")
+    asked = requests.select("request_id", F.array_distinct(_pairs("query", "propertyKey", "propertyValue")).alias("pairs"))
+    asked = asked.select("request_id", F.size("pairs").alias("need"), F.explode("pairs").alias("p")).select("request_id", "need", "p.*")
+    counts = held.join(asked.select("k", "v").distinct(), ["k", "v"], "left_semi").groupBy("k", "v").agg(F.count("*").alias("n"))
+    known = asked.join(counts, ["k", "v"])
+    possible = known.groupBy("request_id", "need").agg(F.count("*").alias("found"), F.min(F.struct("n", "k", "v")).alias("rarest")).filter("found = need")
+    wide = lambda df, side: df.select(F.col(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in ("query_start", "query_end", "datasources")])
+    met = possible.select("request_id", "need", "rarest.k", "rarest.v").join(held, ["k", "v"]).select("request_id", "need", "case_id")
+    met = met.join(wide(requests, "request"), "request_id").join(wide(cases, "case"), "case_id")
+    inside = (F.col("case_query_start") <= F.col("request_query_start")) & (F.col("case_query_end") >= F.col("request_query_end"))
+    sources = (F.size(F.array_except("request_datasources", "case_datasources")) == 0) | F.array_contains("case_datasources", "all")
+    met = met.filter(inside & sources).select("request_id", "need", "case_id")
+    alone = met.filter("need = 1").select("request_id", "case_id")
+    more = met.filter("need > 1").join(asked.drop("need"), "request_id").join(held, ["case_id", "k", "v"], "left_semi")
+    return alone.unionByName(more.groupBy("request_id", "case_id", "need").agg(F.count("*").alias("found")).filter("found = need").select("request_id", "case_id"))
+
+
 def arrivals(raw: DataFrame, key: str, time_col: str, source_col: str) -> DataFrame:
     """Tracker rows (as for :func:`next_delta`) of records that have just arrived and wait to be loaded."""
     waits = F.lit(None).cast("timestamp_ntz").alias("processed_time")

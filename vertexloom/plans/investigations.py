@@ -102,7 +102,12 @@ def communicated_after(graph: Graph, starts: DataFrame, window: str, scope: Scop
     least = places.groupBy("process_id").agg(F.min("event_time").alias("first_time"))
     first = cut(places.select("process_id", "place_id").distinct().join(least, "process_id"))
     talk = scope.hop(Traversal(graph, first.select(F.col("place_id").alias("node_id"))), "both", "IPsCommunicated").last.join(timed("IPsCommunicated"), "edge_id")
-    near = (F.col("event_time") >= F.col("first_time")) & (F.col("event_time") < F.col("first_time") + F.expr(f"INTERVAL {window}"))
-    return first.join(talk, (F.col("place_id") == F.col("prev_id")) & near).select(
-        "process_id", "place_id", "first_time", "edge_id", F.col("cur_id").alias("other_id"), "event_time"
-    )
+    # An interval join: both sides are dealt by place and stretch of time of the window's length, so a busy place is split.
+    micros = lambda c: F.timestamp_diff("MICROSECOND", F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz"), c)
+    length = graph.edges.sparkSession.range(1).select(micros(F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz") + F.expr(f"INTERVAL {window}")).alias("n")).first().n
+    until = F.col("first_time") + F.expr(f"INTERVAL {window}")
+    stretches = F.sequence(F.floor(micros(F.col("first_time")) / length), F.floor(micros(until) / length))
+    seen = first.withColumn("until", until).withColumn("stretch", F.explode(stretches))
+    said = talk.select(F.col("prev_id").alias("place_id"), F.floor(micros(F.col("event_time")) / length).alias("stretch"), "edge_id", F.col("cur_id").alias("other_id"), "event_time")
+    met = seen.join(said, ["place_id", "stretch"]).filter("event_time >= first_time and event_time < until")
+    return met.select("process_id", "place_id", "first_time", "edge_id", "other_id", "event_time")

@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 from vertexloom.lineage import ensure_checkpoint_dir
 from vertexloom.operators.mapper import node_key
+from vertexloom.operators.nested import nested_ego, store_adjacency
+from vertexloom.operators.traversal import V
+from vertexloom.plans import cases as cs
 from vertexloom.plans import investigations as inv
+from vertexloom.plans import many
 from vertexloom.plans.security import MAPPERS
-from vertexloom.queries.graph_queries import _hop, _rows
+from vertexloom.queries.graph_queries import _IN_1997, _REGION, _SCOPE, GRAPH_SQL, _cases, _hop, _rows
 from vertexloom.queries.record_queries import _EXPECTED, _security
-from vertexloom.sources.tables import read
+from vertexloom.queries.table_queries import _case_table
+from vertexloom.sources.tables import SPAN, order_graph, read
 from vertexloom.streaming.ingest import ingest
 from vertexloom.streaming.store import GraphTables
 
@@ -142,5 +147,50 @@ def stored_investigations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("name", "src", "dst", "direction", "lvl", "edge_label", "n")
 
 
-
-
+# Many cases, many requests, nested rows
+
+
+@_query(f"""WITH {GRAPH_SQL},
+    s AS (SELECT 'case' || c_nationkey AS case_id, 1 * {SPAN} + c_custkey AS cur FROM customer WHERE c_nationkey = 4 OR lower(c_mktsegment) = 'building'),
+    t AS MATERIALIZED (SELECT * FROM e WHERE {_IN_1997}),
+    h1 AS MATERIALIZED (SELECT case_id, dst_id AS cur, src_id, dst_id, 'out' AS direction, 1::int AS lvl, edge_id, label AS edge_label FROM t JOIN s ON src_id = s.cur WHERE label = 'placed'),
+    h2 AS MATERIALIZED (SELECT case_id, dst_id AS cur, src_id, dst_id, 'out' AS direction, 2::int AS lvl, edge_id, label AS edge_label FROM t JOIN (SELECT DISTINCT case_id, cur FROM h1) f ON src_id = f.cur WHERE label = 'contains'),
+    h3 AS MATERIALIZED (SELECT case_id, src_id AS cur, src_id, dst_id, 'in' AS direction, 3::int AS lvl, edge_id, label AS edge_label FROM t JOIN (SELECT DISTINCT case_id, cur FROM h2) f ON dst_id = f.cur WHERE label = 'contains')
+    SELECT case_id, src_id, dst_id, direction, lvl, edge_id, edge_label FROM h1 UNION ALL SELECT case_id, src_id, dst_id, direction, lvl, edge_id, edge_label FROM h2
+    UNION ALL SELECT case_id, src_id, dst_id, direction, lvl, edge_id, edge_label FROM h3""")
+def cases_of_all_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases of all nations at once: orders of their customers, their parts, and other orders of these."""
+    starts = many.case_starts(_cases(spark, sf_dir))
+    hops = [("out", "placed", "order"), ("out", "contains", None), ("in", "contains", None)]
+    return many.investigate_cases(order_graph(spark, sf_dir), starts, hops, _SCOPE).rows()
+
+
+#: A request for each customer's last order: its priority and its first supplier, for a few days, of one or two sources.
+_REQUESTS_SQL = """SELECT o_orderkey AS request_id, o_custkey, o_orderpriority AS priority, o_orderdate + INTERVAL 3 DAYS AS query_start, o_orderdate + INTERVAL 9 DAYS AS query_end,
+    CASE WHEN o_orderstatus = 'P' THEN ['web'] ELSE ['mail', 'web'] END AS datasources, 'S' || (o_orderkey % 100) AS supplier FROM orders"""
+
+
+@_query(f"""WITH r AS ({_REQUESTS_SQL}),
+    c AS (SELECT o_orderkey AS case_id, lower(o_orderpriority) AS priority, o_orderdate AS query_start, o_orderdate + INTERVAL 30 DAYS AS query_end,
+        CASE o_orderstatus WHEN 'F' THEN ['mail', 'web'] WHEN 'O' THEN ['all'] ELSE ['web'] END AS datasources FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+    n AS (SELECT DISTINCT l_orderkey AS case_id, 's' || l_suppkey AS supplier FROM lineitem)
+    SELECT request_id, c.case_id FROM r JOIN n ON n.supplier = lower(r.supplier) JOIN c ON c.case_id = n.case_id AND c.priority = lower(r.priority)
+        AND c.query_start <= r.query_start AND c.query_end >= r.query_end AND (list_has_all(c.datasources, r.datasources) OR list_contains(c.datasources, 'all'))""")
+def requests_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a request made of each order, the cases that already hold its export: every pair, the time range and the sources."""
+    pair = lambda k, v: F.struct(F.lit(k).alias("propertyKey"), v.alias("propertyValue"))
+    o = read(spark, sf_dir, "orders")
+    requests = o.select(
+        F.col("o_orderkey").alias("request_id"), F.array(pair("priority", F.upper("o_orderpriority")), pair("supplier", F.concat(F.lit("S"), F.col("o_orderkey") % 100))).alias("query"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 3 DAYS")).alias("query_start"), (F.col("o_orderdate") + F.expr("INTERVAL 9 DAYS")).alias("query_end"),
+        F.when(F.col("o_orderstatus") == "P", F.array(F.lit("web"))).otherwise(F.array(F.lit("mail"), F.lit("web"))).alias("datasources"),
+    )
+    return cs.covered_requests(_case_table(spark, sf_dir), requests)
+
+
+@_query(f"WITH {GRAPH_SQL}{_REGION}" + _hop("h1", "s", 1, "both") + _hop("h2", "h1", 2, "both") + _hop("h3", "h2", 3, "both") + f" {_rows('h1', 'h2', 'h3')}")
+def nested_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbourhood of a region up to three hops, over nested rows that are stored in buckets by vertex."""
+    graph = order_graph(spark, sf_dir)
+    stored = store_adjacency(graph, f"adjacency_{uuid.uuid4().hex}", _folder(spark, "adjacency"), 8)
+    return nested_ego(stored, V(graph).with_label("region").with_("name", "ASIA").root, 3)
