@@ -34,12 +34,17 @@ class NodeMap:
 
 @dataclass(frozen=True)
 class EdgeMap:
-    """An edge between ``label.property(expression)`` ends."""
+    """An edge between ``label.property(expression)`` ends.
+
+    ``aggregate``, as ``counter-eventTime-5s``, has equal edges of a stretch of time counted:
+    the property that holds the count, the one that holds the time, and the length.
+    """
 
     label: str
     left: str
     right: str
     properties: Mapping[str, str] = field(default_factory=dict)
+    aggregate: str | None = None
 
 
 @dataclass(frozen=True)
@@ -55,7 +60,7 @@ class Mapper:
         """From the same structure as plain data, for mappings that are kept as JSON."""
         return Mapper(
             tuple(NodeMap(n["label"], n["properties"], n["unique"]) for n in spec["nodes"]),
-            tuple(EdgeMap(e["label"], e["left"], e["right"], e.get("properties", {})) for e in spec["edges"]),
+            tuple(EdgeMap(e["label"], e["left"], e["right"], e.get("properties", {}), e.get("aggregate")) for e in spec["edges"]),
             {k: Call(c["function"], tuple(c["fields"]), c.get("many", False)) for k, c in spec.get("calls", {}).items()},
         )
 

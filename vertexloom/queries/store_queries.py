@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from vertexloom.queries.graph_queries import _IN_1997, _REGION, _SCOPE, GRAPH_SQ
 from vertexloom.queries.record_queries import _EXPECTED, _security
 from vertexloom.queries.table_queries import _case_table
 from vertexloom.sources.tables import SPAN, order_graph, read
-from vertexloom.streaming.ingest import ingest
+from vertexloom.streaming.ingest import ingest, ingest_counters
 from vertexloom.streaming.store import GraphTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,3 +195,30 @@ def nested_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = order_graph(spark, sf_dir)
     stored = store_adjacency(graph, f"adjacency_{uuid.uuid4().hex}", _folder(spark, "adjacency"), 8)
     return nested_ego(stored, V(graph).with_label("region").with_("name", "ASIA").root, 3)
+
+
+# Counters in stretches of time
+
+
+@_query(f"""WITH {_edges_sql(("windows",))},
+    r AS (SELECT 'user:' || t[1] AS src, 'IP:' || a[1] AS dst, time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '1970-01-01') AS begin FROM r_windows WHERE a[1] <> '-')
+    SELECT src, dst, begin, count(*) AS counter FROM r WHERE begin + INTERVAL 12 HOURS <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY src, dst, begin""")
+def windowed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins counted in stretches of twelve hours by a stream over two files, some rows of the first stretch arriving late in the second."""
+    folder = _folder(spark, "counters")
+    records = _security(spark, sf_dir, "windows").withColumn("ds", F.lit("windows"))
+    half = F.lit(_HALF).cast("timestamp_ntz")
+    late = (F.col("record") % 7 == 3) & (F.col("event_ts") >= half - F.expr("INTERVAL 12 HOURS"))
+    early = (F.col("event_ts") < half) & ~late
+    records.filter(early).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    records.filter(~early | (F.col("record") % 10 == 0)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    logins = tuple(replace(e, aggregate="counter-eventTime-12h") for e in MAPPERS["windows"].edges if e.label == "loggedIn")
+    tables = GraphTables(spark, f"{folder}/graph", 2)
+    ingest_counters(
+        spark, f"{folder}/in", records.schema, tables, f"{folder}/state", replace(MAPPERS["windows"], edges=logins), "record", "event_ts", "ds", late="1 day", files_per_batch=1
+    ).awaitTermination()
+    graph = tables.graph()
+    rows = graph.edges.select("src_id", "dst_id", F.col("event_time").alias("begin"), F.try_element_at(F.try_element_at("properties", F.lit("counter")), F.lit(1)).cast("bigint").alias("counter"))
+    for side in ("src", "dst"):
+        rows = rows.join(graph.vertices.select(F.col("node_id").alias(f"{side}_id"), F.concat_ws(":", "label", "identifier").alias(side)), f"{side}_id")
+    return rows.select("src", "dst", "begin", "counter")
