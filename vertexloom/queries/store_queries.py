@@ -17,6 +17,7 @@ from vertexloom.operators.traversal import V
 from vertexloom.plans import cases as cs
 from vertexloom.plans import investigations as inv
 from vertexloom.plans import many
+from vertexloom.plans.delta import DeltaStore
 from vertexloom.plans.security import MAPPERS
 from vertexloom.queries.graph_queries import _IN_1997, _REGION, _SCOPE, GRAPH_SQL, _cases, _hop, _rows
 from vertexloom.queries.record_queries import _EXPECTED, _security
@@ -222,3 +223,59 @@ def windowed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     for side in ("src", "dst"):
         rows = rows.join(graph.vertices.select(F.col("node_id").alias(f"{side}_id"), F.concat_ws(":", "label", "identifier").alias(side)), f"{side}_id")
     return rows.select("src", "dst", "begin", "counter")
+
+
+# Loads
+
+
+@_query(f"""WITH a AS (SELECT *, ts >= TIMESTAMP '{_HALF}' AS second FROM events WHERE event_type <> 'signup'),
+    d AS (SELECT second, min(ts) - INTERVAL 30 SECONDS AS low, max(ts) + INTERVAL 30 SECONDS AS high, list(DISTINCT event_type) AS sources FROM a GROUP BY second)
+    SELECT second::bigint AS load, event_id FROM d JOIN (SELECT event_id, ts, event_type, second AS own FROM a) x
+        ON ts BETWEEN low AND high AND list_contains(sources, event_type) AND own <= second""")
+def delta_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two arrivals, each loaded by its time range and sources from the days of the range only; a third run finds nothing."""
+    events = read(spark, sf_dir, "events").filter("event_type <> 'signup'")
+    store = DeltaStore(spark, _folder(spark, "delta"), "event_id long, ts timestamp_ntz, event_type string", "event_id", "ts", "event_type")
+    taken = _folder(spark, "taken")
+    for number, condition in enumerate((f"ts < '{_HALF}'", f"ts >= '{_HALF}'")):
+        store.arrive(number, events.filter(condition).select("event_id", "ts", "event_type"))
+        for _ in range(2):  # the second one finds nothing
+            store.load(lambda n, rows: rows.select("event_id").write.mode("overwrite").parquet(f"{taken}/load={n}"))
+    return spark.read.schema("event_id long, load long").parquet(taken)
+
+
+_PEOPLE_SQL = "SELECT c_custkey AS k, lower(c_name) AS name, CASE WHEN c_custkey % 10 = 0 THEN 'atlantis' ELSE 'nation_' || c_nationkey END AS nation FROM customer"
+
+
+@_query(f"""WITH p AS ({_PEOPLE_SQL}),
+    n AS (SELECT DISTINCT 'nation' AS label, lower(n_name) AS identifier FROM nation UNION ALL SELECT 'customer', name FROM p)
+    SELECT 'vertex' AS kind, label AS a, identifier AS b FROM n
+    UNION ALL SELECT 'edge', name, nation FROM p WHERE nation <> 'atlantis'
+    UNION ALL SELECT 'vertex is known', 'customer:' || name, '1' FROM p WHERE k % 3 = 0
+    UNION ALL SELECT 'edge is known', 'e' || k, '1' FROM p WHERE k % 3 = 0 AND nation <> 'atlantis'
+    UNION ALL SELECT 'end is unknown', 'e' || k, '0' FROM p WHERE k % 3 = 0 AND nation = 'atlantis'
+    UNION ALL SELECT 'end is unknown', 'e' || k, '1' FROM p WHERE nation = 'atlantis'""")
+def inserts_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices, edges and the error report after two inserts, the second of which was tried twice and repeats a third of the first."""
+    tables = GraphTables(spark, _folder(spark, "inserts"), 4)
+    none = F.create_map().cast("map<string,array<string>>")
+    people = read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("k"), F.lower("c_name").alias("name"), F.when(F.col("c_custkey") % 10 == 0, "atlantis").otherwise(F.concat(F.lit("nation_"), "c_nationkey")).alias("nation")
+    )
+    nations = read(spark, sf_dir, "nation").select(F.lit("nation").alias("label"), F.lower("n_name").alias("identifier"))
+    for number, some in ((0, people.filter("k % 3 = 0")), (1, people), (1, people)):
+        nodes = some.select(F.lit("customer").alias("label"), F.col("name").alias("identifier"))
+        nodes = nodes if number else nodes.unionByName(nations)
+        edges = some.select(
+            F.concat(F.lit("e"), "k").alias("edge_id"), node_key(F.lit("customer"), F.col("name")).alias("src_id"), node_key(F.lit("nation"), F.col("nation")).alias("dst_id"),
+            F.lit("inNation").alias("label"), none.alias("properties"),
+        )
+        tables.insert(number, nodes.withColumn("properties", none), edges)
+    nodes, edges = tables.read()
+    name = lambda side: nodes.select(F.col("node_id").alias(f"{side}_id"), F.col("identifier").alias(side))
+    ends = edges.join(name("src"), "src_id").join(name("dst"), "dst_id")
+    return (
+        nodes.select(F.lit("vertex").alias("kind"), F.col("label").alias("a"), F.col("identifier").alias("b"))
+        .unionByName(ends.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
+        .unionByName(tables.errors().select(F.col("error").alias("kind"), F.col("element").alias("a"), F.col("number").cast("string").alias("b")))
+    )
