@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -12,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import arrow_batches, shield
+from vertexloom.llm.common import LOWER, UPPER, arrow_batches, shield
 
 # Short notices as they are usually written, (identifier, words that must all be there, notice).
 TEMPLATES = (
@@ -47,10 +49,9 @@ TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)")
 #: Words that tell licenses with much wording in common apart.
 TELLING = frozenset("affero lesser library by by-nc by-sa by-nd by-nc-sa by-nc-nd noncommercial sharealike 2-clause 3-clause 1.0 1.1 2 2.0 2.1 3 3.0 4.0".split())
 CUE = re.compile(r"licen[sc]|copyright|permission (?:is hereby|to use)|redistributi|free software|public domain|\bcc0\b|\bcc by\b|\bgpl\b|\bspdx\b", re.I)
-#: Characters around a cue that belong to its block, and most of a block; longer ones are cut with this overlap.
-BEFORE, AFTER, BLOCK, OVERLAP = 200, 400, 4000, 400
 #: Share of a template's words that a block must have, in order.
 COVERAGE = 0.8
+_LOWER = str.maketrans(UPPER, LOWER)
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -66,18 +67,28 @@ class Finding:
     added: int
 
 
-def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """Begins and texts of the places that may hold a notice; neighbouring ones are one."""
-    spans: list[list[int]] = []
-    for m in CUE.finditer(text):
-        a, b = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = b
+Word = tuple[str, int, int]
+
+
+def blocks(cues: Iterator[re.Match], found: list[Word], longest: int) -> Iterator[tuple[int, int]]:
+    """First and last words of the places that may hold a notice; neighbouring ones are one, of any length.
+
+    The longest template before a cue and its room, twice its words, after it belong to a
+    block, so no notice around a cue is cut.
+    """
+    begins = [w[1] for w in found]
+    first = last = None
+    for m in cues:
+        at = bisect_right(begins, m.start())
+        low, high = max(0, at - longest), min(len(found), at + 2 * longest)
+        if first is not None and low <= last:
+            last = high
         else:
-            spans.append([a, b])
-    for a, b in spans:
-        for at in range(a, max(a + 1, b - OVERLAP), BLOCK - OVERLAP):
-            yield at, text[at : min(b, at + BLOCK)]
+            if first is not None:
+                yield first, last
+            first, last = low, high
+    if first is not None and last > first:
+        yield first, last
 
 
 class TemplateScanner:
@@ -87,35 +98,61 @@ class TemplateScanner:
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.primed, self.words = [], []
         for name, must, notice in TEMPLATES:
-            raw = zstandard.ZstdCompressionDict(notice.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw = zstandard.ZstdCompressionDict(" ".join(_WORD.findall(notice.lower())).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.primed.append(zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_dict_id=False))
             self.words.append((name, frozenset(must.split()), _WORD.findall(notice.lower())))
+        self.longest = max(len(words) for _, _, words in self.words)
         self.tags = {spelled.lower(): name for spelled, name in [*((name, name) for name, _, _ in TEMPLATES), *SPDX.items()]}
 
-    def confirm(self, k: int, begin: int, block: str, saved: int) -> list[Finding]:
-        """Every place of the block whose wording is the template's, but for small differences."""
-        name, must, words = self.words[k]
-        found = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(block)]
-        here = [w for w, _, _ in found]
-        out, at = [], 0
-        while at < len(here):
-            # A notice begins with one of the first words of the template; its room is twice the template.
-            heads = [i for i in range(at, len(here)) if here[i] in words[:3]]
-            if not heads:
-                break
-            first = heads[0]
-            room = here[first : first + 2 * len(words)]
-            match = [m for m in SequenceMatcher(None, words, room, autojunk=False).get_matching_blocks() if m.size]
-            same = [i for m in match for i in range(m.b, m.b + m.size)]
-            kept = {words[i] for m in match for i in range(m.a, m.a + m.size)}
-            extra = [w for i, w in enumerate(room[: same[-1] + 1]) if i >= same[0] and i not in set(same)] if same else []
-            if must <= kept and len(same) >= COVERAGE * len(words) and not TELLING & set(extra):
-                a, b = found[first + same[0]], found[first + same[-1]]
-                out.append(Finding(name, begin + a[1], begin + b[2], saved, len(words) - len(same), len(extra)))
-                at = first + same[-1] + 1
-            else:
-                at = first + 1
-        return out
+    def saved(self, k: int, words: list[Word]) -> int:
+        """Bytes that a template saves of a text, both as words with single spaces between."""
+        raw = " ".join([w for w, _, _ in words]).encode()
+        return len(self.plain.compress(raw)) - len(self.primed[k].compress(raw))
+
+    def ranked(self, found: list[Word], least: int = 1) -> list[tuple[int, int, int]]:
+        """Candidates among the words of a block: bytes saved, template and first word, most saved first.
+
+        A candidate is the room of a template, twice its words, from one of its first words on.
+        Only those of which it saves ``least`` bytes are any.
+        """
+        out = []
+        for k, (_, _, words) in enumerate(self.words):
+            heads = set(words[:3])
+            for first, (word, _, _) in enumerate(found):
+                if word in heads:
+                    saved = self.saved(k, found[first : first + 2 * len(words)])
+                    if saved >= least:
+                        out.append((saved, k, first))
+        return sorted(out, key=lambda x: (-x[0], x[1], x[2]))
+
+    def confirm(self, k: int, first: int, found: list[Word]) -> tuple[int, int, int, int] | None:
+        """Whether the wording of a candidate is the template's, but for small differences: first and last word, missing and added ones."""
+        _, must, words = self.words[k]
+        room, need = [w for w, _, _ in found[first : first + 2 * len(words)]], COVERAGE * len(words)
+        if not must <= set(room) or (Counter(words) & Counter(room)).total() < need:
+            return None
+        match = [m for m in SequenceMatcher(None, words, room, autojunk=False).get_matching_blocks() if m.size]
+        same = [i for m in match for i in range(m.b, m.b + m.size)]
+        kept = {words[i] for m in match for i in range(m.a, m.a + m.size)}
+        inside = set(same)
+        extra = [w for i, w in enumerate(room[: same[-1] + 1]) if i >= same[0] and i not in inside]
+        if must <= kept and len(same) >= need and not TELLING & set(extra):
+            return first + same[0], first + same[-1], len(words) - len(same), len(extra)
+        return None
+
+    def findings(self, found: list[Word], least: int = 1) -> Iterator[Finding]:
+        """Confirmed candidates of a block, those that save most first."""
+        taken: dict[int, list[tuple[int, int]]] = {}
+        for _, k, first in self.ranked(found, least):
+            if any(a <= first <= b for a, b in taken.get(k, ())):
+                continue
+            # Which of a template's first words saves most may hang on a byte: the first one that reads best counts.
+            places = [self.confirm(k, i, found) for i in range(max(0, first - 2), first + 1) if found[i][0] in self.words[k][2][:3]]
+            place = min((p for p in places if p), key=lambda p: (p[2] + p[3], p[0]), default=None)
+            if place:
+                a, b, missing, added = place
+                taken.setdefault(k, []).append((a, b))
+                yield Finding(self.words[k][0], found[a][1], found[b][2], self.saved(k, found[a : b + 1]), missing, added)
 
     def tagged(self, begin: int, block: str) -> list[Finding]:
         """Every known identifier of the SPDX tags of the block."""
@@ -127,38 +164,38 @@ class TemplateScanner:
         ]
 
     def scan(self, text: str) -> list[Finding]:
-        """Licenses of a text by place; where findings overlap, the one with most saved and least different stays."""
-        found: list[Finding] = []
-        for begin, block in blocks(text):
-            lowered = "".join(c.lower() if c.isascii() else c for c in block)
-            raw = lowered.encode("utf-8", "surrogatepass")
-            alone = len(self.plain.compress(raw))
-            here = set(_WORD.findall(lowered))
-            for k, (_, must, _) in enumerate(self.words):
-                if must <= here:  # only these can be confirmed
-                    found += self.confirm(k, begin, lowered, alone - len(self.primed[k].compress(raw)))
-            found += self.tagged(begin, lowered)
-        out: list[Finding] = []
-        for f in sorted(set(found), key=lambda f: (f.missing + f.added, f.start - f.end, -f.saved, f.license)):
-            if all(f.end <= g.start or g.end <= f.start for g in out):
-                out.append(f)
-        return sorted(out, key=lambda f: f.start)
+        """Licenses of a text by place; of findings that overlap, the one whose template saves most of its place stays."""
+        lowered = text.translate(_LOWER)
+        found = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(lowered)]
+        out: list[Finding] = self.tagged(0, lowered)
+        for first, last in blocks(CUE.finditer(lowered), found, self.longest):
+            out += self.findings(found[first:last])
+        return chosen(out)
+
+
+def chosen(found: list[Finding]) -> list[Finding]:
+    """Findings that don't overlap, by place: those that save most first, then those with least different, then the longer ones."""
+    out: list[Finding] = []
+    for f in sorted(set(found), key=lambda f: (-f.saved, f.missing + f.added, f.start - f.end, f.license)):
+        if all(f.end <= g.start or g.end <= f.start for g in out):
+            out.append(f)
+    return sorted(out, key=lambda f: f.start)
 
 
 def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Find license notices in every whole text.
 
-    Every template whose telling words are all in a block around license words is compared
-    with it word by word, whatever else was found; a notice counts if no telling word of
-    another license stands between and few words differ. Zstandard compresses the block alone
-    and with the template as a raw dictionary, and the bytes saved rank findings that overlap.
-    SPDX tags give the known identifiers that they name.
+    In the blocks around license words every place where a template may begin is compressed by
+    zstandard, alone and with the template as a raw dictionary. Where that saves bytes the
+    wording is compared word by word, the most saved first; a notice counts if no telling word
+    of another license stands between and few words differ. Of notices that overlap the one stays whose template saves most of its
+    place. SPDX tags give the known identifiers that they name.
 
     Returns the columns of ``df`` (those that clash with the new names give way) and
     ``licenses`` (distinct identifiers, sorted, comma-joined), ``n_notices`` long, ``notices``
     (array of license, start, end in code points, saved bytes, missing and added words).
-    Defined cases: null and empty texts have no notice; of overlapping findings the exacter
-    one stays; repeated rows are scanned each; empty input gives no rows.
+    Defined cases: null and empty texts have no notice; very long
+    texts are scanned whole; repeated rows are scanned each; empty input gives no rows.
     """
     arrow_batches(df.sparkSession)
     kind = "struct<licenses:string,n_notices:long,notices:array<struct<license:string,start:int,end:int,saved:int,missing:int,added:int>>>"
