@@ -488,17 +488,36 @@ def _counted(blocks: DataFrame, candidates: DataFrame, least: int, longest: int)
             for batch in batches:
                 for codes, starts in _read_blocks(batch):
                     total += trie.visits(codes, starts, longest)
-            states = np.flatnonzero(total)
+            yield from _count_rows(total)
             release_memory()
-            yield pa.RecordBatch.from_arrays([pa.array(states, pa.int64()), pa.array(total[states], pa.int64())], ["state", "n"])
 
-        sums = blocks.mapInArrow(count, "state long, n long").groupBy("state").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        def add(batches: Iterator[pa.RecordBatch], least=least) -> Iterator[pa.RecordBatch]:
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for chunk, places, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    total = totals.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64))
+                    total[np.frombuffer(places, "<u2")] += np.frombuffer(counts, "<i8")
+            for chunk, total in totals.items():
+                at = np.flatnonzero(total >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(at + (chunk << CHUNK_BITS), pa.int64()), pa.array(total[at], pa.int64())], ["state", "a"])
+
+        sums = blocks.mapInArrow(count, "chunk int, places binary, counts binary").repartition("chunk").mapInArrow(add, "state long, a long")
         counted = counted.unionByName(written(sums.withColumn("part", F.lit(part)), "phrase-counts"))
         sent.unpersist()
     named = tries.filter(F.col("state").isNotNull()).select("part", "state", "codes")
     return named.join(counted, ["part", "state"]).select(F.concat_ws(":", "part", "state").alias("phrase"), "codes", "a")
 
 
+def _count_rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of states in chunks: the places that have any, and these."""
+    for at in range(0, len(total), 1 << CHUNK_BITS):
+        chunk = total[at : at + (1 << CHUNK_BITS)]
+        places = np.flatnonzero(chunk)
+        if len(places):
+            columns = [pa.array([at >> CHUNK_BITS], pa.int32()), pa.array([places.astype("<u2").tobytes()], pa.binary()), pa.array([chunk[places].astype("<i8").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "places", "counts"])
+
+
 def _trie_rows(part: int, phrases: np.ndarray, trie: Trie, states: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The states of phrases, and one row without a state that holds the trie."""
     names = ["part", "state", "codes", "trie"]
