@@ -10,6 +10,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.functions.text import JUNK
 from vertexloom.lineage import ensure_checkpoint_dir
 from vertexloom.operators.mapper import node_key
 from vertexloom.operators.nested import nested_ego, store_adjacency
@@ -18,6 +19,7 @@ from vertexloom.plans import cases as cs
 from vertexloom.plans import investigations as inv
 from vertexloom.plans import many
 from vertexloom.plans.delta import DeltaStore
+from vertexloom.plans.expansion import EventSource, expand_sources
 from vertexloom.plans.security import MAPPERS
 from vertexloom.queries.graph_queries import _IN_1997, _REGION, _SCOPE, GRAPH_SQL, _cases, _hop, _rows
 from vertexloom.queries.record_queries import _EXPECTED, _security
@@ -279,3 +281,45 @@ def inserts_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(ends.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
         .unionByName(tables.errors().select(F.col("error").alias("kind"), F.col("element").alias("a"), F.col("number").cast("string").alias("b")))
     )
+
+
+# Expansion over several sources
+
+
+_EXPANDED_TIME = (dt.datetime(1997, 1, 1), dt.datetime(2024, 1, 12))
+
+
+def _expanded_sql() -> str:
+    low, high = (f"TIMESTAMP '{t.isoformat(' ')}'" for t in _EXPANDED_TIME)
+    named = f"""n AS MATERIALIZED (
+        SELECT 'events' AS source, event_id, 'person' AS kind, 'u' || user_id AS value FROM events WHERE ts BETWEEN {low} AND {high}
+        UNION SELECT 'events', event_id, 'day', strftime(ts, '%m-%d') || event_type FROM events WHERE ts BETWEEN {low} AND {high}
+        UNION SELECT 'orders', o_orderkey, 'person', 'u' || o_custkey FROM orders WHERE o_orderdate BETWEEN {low} AND {high}
+        UNION SELECT 'orders', o_orderkey, 'order', 'o' || o_orderkey FROM orders WHERE o_orderdate BETWEEN {low} AND {high}
+        UNION SELECT 'lineitem', l_orderkey * 10 + l_linenumber, 'order', 'o' || l_orderkey FROM lineitem WHERE l_shipdate BETWEEN {low} AND {high}
+        UNION SELECT 'lineitem', l_orderkey * 10 + l_linenumber, 'part', 'p' || l_partkey FROM lineitem WHERE l_shipdate BETWEEN {low} AND {high}),
+    m AS MATERIALIZED (SELECT * FROM n WHERE value NOT IN ('p7', 'u3')),
+    v0 AS (SELECT * FROM (VALUES ('person', 'u5'), ('person', 'u11'), ('part', 'p12'), ('order', 'u5'), ('person', 'u3')) x(kind, value)),
+    e0 AS MATERIALIZED (SELECT DISTINCT source, event_id FROM m JOIN v0 USING (kind, value))"""
+    for k in (1, 2):
+        seen = " UNION ALL ".join(f"SELECT source, event_id FROM e{i}" for i in range(k))
+        named += f""", v{k} AS MATERIALIZED (SELECT DISTINCT kind, value FROM m JOIN e{k - 1} USING (source, event_id)),
+        e{k} AS MATERIALIZED (SELECT DISTINCT source, event_id FROM m JOIN v{k} USING (kind, value) EXCEPT ({seen}))"""
+    return f"WITH {named} " + " UNION ALL ".join(f"SELECT source, event_id, {k}::int AS level FROM e{k}" for k in range(3))
+
+
+@_query(_expanded_sql())
+def sources_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three levels around some people and a part, over events, orders and lines, each value followed in its kind only."""
+    events = read(spark, sf_dir, "events").select("event_id", "ts", F.concat(F.lit("U"), "user_id").alias("who"), F.concat(F.date_format("ts", "MM-dd"), "event_type").alias("day"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.concat(F.lit("u"), "o_custkey").alias("who"), F.concat(F.lit("O"), "o_orderkey").alias("number"))
+    lines = read(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_shipdate", F.concat(F.lit("o"), "l_orderkey").alias("number"), F.concat(F.lit("P"), "l_partkey").alias("part")
+    )
+    sources = [
+        EventSource("events", events, "event_id", "ts", {"person": ["who"], "day": ["day"]}),
+        EventSource("orders", orders, "o_orderkey", "o_orderdate", {"person": ["who"], "order": ["number"]}),
+        EventSource("lineitem", lines, "line", "l_shipdate", {"order": ["number"], "part": ["part"]}),
+    ]
+    seeds = spark.createDataFrame([("person", "U5"), ("person", "u11"), ("part", "p12"), ("order", "u5"), ("person", "u3")], "kind string, value string")
+    return expand_sources(sources, seeds, 3, _EXPANDED_TIME, skip=("p7", "u3", *JUNK))
