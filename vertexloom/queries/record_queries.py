@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +131,50 @@ for _kind in MAPPERS:
     _security_queries(_kind)
 
 
+_TIME_ONLY = {"eventTime": "ts::varchar"}
+_SEEN = {**_TIME_ONLY, "processID": "''", "eventId": "'3'"}
+_COMMAND = {**_TIME_ONLY, "commandLine": "''"}
+_TALK = {**_TIME_ONLY, "processID": "''", "srcPort": "''", "dstPort": "''"}
+_LOGON = {"eventTime": "''", "processID": "''", "eventId": "'4624'", "category": "''", "severityValue": "''"}
+_SENT = {"emailTime": "'2024-01-01'", "category": "'send'"}
+_SIZES = {"sentBytes": "event_id::varchar", "receivedBytes": "''", "elapsedTime": "''", "operation": "''"}
+_PORTS = {**_SIZES, "srcPort": "'4' || (event_id % 10)", "dstPort": "''"}
+#: Properties of each kind's edges by label, in SQL over events; fields that the records lack are empty.
+_HELD = {
+    "sysmon": {
+        "loggedIn": {**_TIME_ONLY, "eventId": "'3'"}, "hasIP": _SEEN, "withIP": _SEEN, "runningProcess": _SEEN, "createdProcess": _COMMAND, "createdChildProcess": _COMMAND, "childProcessOn": _COMMAND,
+        "downloadedBy": _TIME_ONLY, "downloadedOn": _TIME_ONLY, "processCommunicated": _TALK, "IPsCommunicated": _TALK,
+    },
+    "windows": {"loggedIn": {**_LOGON, "workStationName": "''"}, "hasIP": _LOGON, "createdProcess": _LOGON, "withIP": _LOGON},
+    "endpoint": {"runningProcess": {"eventTime": "''", "eventId": "''"}},
+    "mail": {
+        "sentEmail": {**_SENT, "srcHost": "'desk' || (user_id % 90)"}, "receivedEmail": {**_SENT, "dstHost": "'relay' || (event_id % 5)"}, "emailOriginatedFrom": _SENT, "emailSentTo": _SENT,
+        "hasIP": {"eventTime": "'2024-01-01'"}, "withIP": {"eventTime": "'2024-01-01'"},
+    },
+    "firewall": {
+        "IPsCommunicated": {**_PORTS, "policy": "'allow'", "eventTime": "''"}, "downloadedFrom": _PORTS, "clicked": _SIZES, "hasIP": {}, "downloadedOn": {}, "downloadedBy": {"downloadSize": "''"},
+    },
+}
+
+
+def _properties_sql() -> str:
+    views, parts = [], []
+    for kind, (lists, _, links) in _EXPECTED.items():
+        views.append(f"r_{kind} AS (SELECT *, {lists} FROM events)")
+        for x, label, y in (link.split() for link in links.split(",")):
+            pairs = f"(SELECT *, unnest({x}) AS src_name FROM r_{kind}), unnest({y}) u(dst_name) WHERE src_name <> '-' AND dst_name <> '-'"
+            parts += [f"SELECT '{kind}' AS kind, '{label}' AS label, '{k}' AS key, {v} AS value FROM {pairs}" for k, v in {**_HELD[kind][label], "dataSourceName": f"'{kind}'"}.items()]
+    return f"WITH {', '.join(views)} SELECT kind, label, key, value, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY kind, label, key, value"
+
+
+@_query(_properties_sql())
+def mapper_edge_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values of all properties of the edges of the five kinds, with how many edges hold them."""
+    found = [map_edges(_security(spark, sf_dir, kind), MAPPERS[kind], ("record",)).select(F.lit(kind).alias("kind"), "label", F.explode("properties").alias("key", "values")) for kind in MAPPERS]
+    rows = reduce(DataFrame.unionByName, found).select("kind", "label", "key", F.explode("values").alias("value"))
+    return rows.groupBy("kind", "label", "key", "value").agg(F.count("*").alias("n"))
+
+
 # Record files
 
 
