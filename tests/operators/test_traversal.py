@@ -96,6 +96,8 @@ def test_repeat(graph):
     assert ids(start.repeat(out, times=4, emit="last")) == [("e1", "out", 4), ("e2", "out", 4)]
     assert ids(start.repeat(out, until=P.eq("host"))) == [("e4", "out", 1), ("e5", "out", 2)]
     assert ids(start.repeat(out, until=P.eq("ann"), key="userName")) == [("e4", "out", 1), ("e5", "out", 2), ("e6", "out", 3)]
+    with pytest.raises(RuntimeError, match="after 5 levels"):  # a cycle that never passes
+        start.repeat(out, until=P.eq("nobody"), key="userName", max_depth=5)
     with pytest.raises(ValueError):
         start.repeat(out)
 
@@ -159,3 +161,11 @@ def test_investigations(graph):
     assert {x[0] for x in ids(investigate(graph, "user_process", starts))} == {"e1", "e2", "e3", "e4"}
     found = communicated_after(graph, V(graph).with_id(5).root, "2 hours").collect()
     assert [(r.process_id, r.place_id, r.edge_id, r.other_id) for r in found] == [(5, 3, "e11", 4)]
+
+
+def test_long_chain_is_followed_to_its_end(spark):
+    props = "map<string,array<string>>"
+    nodes = spark.createDataFrame([(n, "end" if n == 15 else "n", {}) for n in range(17)], f"node_id long, label string, properties {props}")
+    edges = spark.createDataFrame([(f"e{n}", n, n + 1, "next", {}, None, None) for n in range(16)], f"edge_id string, src_id long, dst_id long, label string, properties {props}, event_time timestamp_ntz, source string")
+    rows = V(Graph(nodes, edges)).with_id(0).repeat(lambda t: t.out(), until=P.eq("end"))
+    assert [i for i, _, _ in sorted(ids(rows), key=lambda r: r[2])] == [f"e{n}" for n in range(15)]

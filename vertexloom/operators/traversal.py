@@ -20,7 +20,8 @@ from vertexloom.lineage import cut
 from vertexloom.operators.graph import Graph, bucket_of
 from vertexloom.operators.predicates import P, Value, matches, property_matches
 
-MAX_DEPTH = 10
+#: Levels of a repeat with a condition; vertices that are left beyond them are an error, not a shorter result.
+MAX_DEPTH = 64
 
 
 @dataclass(frozen=True)
@@ -208,9 +209,9 @@ class Traversal:
         """Run a branch again and again from what it reached.
 
         ``times`` runs give as many levels. With ``until`` vertices whose ``key`` (a property,
-        or ``label``) passes are reached but not left, and the run ends when none is left or
-        at ``max_depth``. ``emit``: ``all`` levels or the ``last`` one. Every run is
-        checkpointed.
+        or ``label``) passes are reached but not left, and the run ends when none is left to
+        go on from. If some are after ``max_depth`` levels, as on a cycle that never passes,
+        it raises. ``emit``: ``all`` levels or the ``last`` one. Every run is checkpointed.
         """
         if (times is None) == (until is None):
             raise ValueError("give either times or until")
@@ -228,6 +229,9 @@ class Traversal:
                 if left.isEmpty():
                     break
                 at = replace(self, frames=((new[-1][0], left),))
+        else:
+            if until is not None:
+                raise RuntimeError(f"vertices are left to go on from after {max_depth} levels")
         if emit == "last":
             new = new[-1:]
         return replace(self, frames=(*self.frames, *new))

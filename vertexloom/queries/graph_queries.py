@@ -350,6 +350,12 @@ def result_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two(spark, sf_dir).result()[0].select("node_id", "label")
 
 
+@_query(f"{_TWO}, r AS ({_rows('h1', 'h2')}) SELECT DISTINCT e.edge_id, e.src_id, e.dst_id, e.label, e.event_time, e.source, e.quantity FROM e JOIN r USING (edge_id)")
+def result_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quantity = g.first_value("properties", "quantity").cast("bigint").alias("quantity")
+    return _two(spark, sf_dir).result()[1].select("edge_id", "src_id", "dst_id", "label", "event_time", "source", quantity)
+
+
 # Named investigations with the order graph's labels in place of the security graph's.
 
 _AS_ORDERS = {
