@@ -200,8 +200,8 @@ def composite_edge_key(src: Column, row: Column, label: Column, dst: Column) ->
 
 
 def first_of_each(nodes: DataFrame, order: str) -> DataFrame:
-    """One vertex for each label and identifier: the properties of the least ``order``."""
-    return nodes.groupBy("label", "identifier").agg(F.min_by("properties", order).alias("properties"))
+    """One vertex for each label and identifier: the properties of the least ``order``, of equal ones those that read first."""
+    return nodes.groupBy("label", "identifier").agg(F.min_by("properties", F.struct(order, F.to_json("properties"))).alias("properties"))
 
 
 def one_of_each_edge(edges: DataFrame) -> DataFrame:

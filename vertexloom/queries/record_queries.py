@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from vertexloom.analytics import alerts as al
 from vertexloom.analytics import summaries as su
 from vertexloom.functions import logs, text
 from vertexloom.lineage import ensure_checkpoint_dir
-from vertexloom.operators.mapper import composite_edge_key, is_empty_node, map_edges, map_nodes, natural_key
+from vertexloom.operators.mapper import composite_edge_key, first_of_each, is_empty_node, map_edges, map_nodes, natural_key
 from vertexloom.operators.predicates import P
 from vertexloom.operators.traversal import V
 from vertexloom.plans import cases as cs
@@ -175,6 +176,18 @@ def mapper_edge_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind", "label", "key", "value").agg(F.count("*").alias("n"))
 
 
+@_query("""WITH m AS (SELECT 'subject ' || (event_id % 40) AS identifier, event_id, date_trunc('day', ts) AS day FROM events),
+    f AS (SELECT identifier, arg_min(event_id::varchar, (day, event_id::varchar)) AS bytes FROM m GROUP BY identifier)
+    SELECT identifier, key, value FROM (SELECT identifier, unnest(['emailSubject', 'messageID', 'messageBytes', 'dataSourceName']) AS key,
+        unnest([identifier, '', bytes, 'mail']) AS value FROM f)""")
+def first_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of each mail as the records of its first day have them; of several on that day those that read first."""
+    records = _security(spark, sf_dir, "mail").withColumn("day", F.date_trunc("day", "event_ts"))
+    mails = replace(MAPPERS["mail"], nodes=tuple(n for n in MAPPERS["mail"].nodes if n.label == "email"))
+    first = first_of_each(map_nodes(records, mails, ("day",)), "day")
+    return first.select("identifier", F.explode("properties").alias("key", "values")).select("identifier", "key", F.explode("values").alias("value"))
+
+
 # Record files
 
 
