@@ -60,12 +60,12 @@ def _arrive(records: DataFrame, time_col: str, path: str, files: int) -> None:
 
 
 def _loaded(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...], buckets: int = 2) -> GraphTables:
-    """The events as records of some kinds, all streamed into the same tables, one of the kinds in two micro-batches, then compacted."""
+    """The events as records of some kinds, all streamed into the same tables, two of the kinds in two micro-batches, then compacted."""
     folder = _folder(spark, "stored")
     tables = GraphTables(spark, f"{folder}/graph", buckets)
     for kind in kinds:
         records = _security(spark, sf_dir, kind).withColumn("ds", F.lit(kind))
-        _arrive(records, "event_ts", f"{folder}/{kind}", 2 if kind == "sysmon" else 1)
+        _arrive(records, "event_ts", f"{folder}/{kind}", 2 if kind in ("sysmon", "mail") else 1)
         ingest(
             spark, f"{folder}/{kind}", records.schema, tables, f"{folder}/state-{kind}", MAPPERS[kind], "record", "event_ts", "ds", late="1 day", stream=kind, files_per_batch=1
         ).awaitTermination()
