@@ -80,3 +80,17 @@ def test_trees_decide_on_notations_that_were_not_learned(spark):
                 wrong[1] += 1
     assert sum(found) / sum(total) >= 0.9, (found, total)
     assert wrong[0] / wrong[1] <= 0.05
+
+
+def test_every_document_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 50, raising=False)  # the bound that there was
+    rows = [(i, f"write to user{i}@mail.example.com or user{i}@host, order {i}12 34 5" if i % 3 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [t for _, t in rows if t]
+    counted = pii.gathered(df, "doc_id", "text").groupBy("label").sum("n").collect()
+    assert {r[0]: r[1] for r in counted} == {x: sum(e[1] == x for t in texts for e in pii.examples(t)) for x in (0.0, 1.0)}
+    # Examples stand only in documents that a sample of 50 by the hash of the ids would leave out.
+    order = {r.doc_id: r.o for r in df.selectExpr("doc_id", "pmod(xxhash64(doc_id), 1L << 50) o").collect()}
+    late = [(i, t if order[i] >= (1 << 50) / 8 else "nothing at all") for i, t in rows]
+    model = pii.learn(spark.createDataFrame(late, "doc_id long, text string"), "doc_id", "text")
+    assert model is not None and len(model.trees) == pii.TREES

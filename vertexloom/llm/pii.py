@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +20,8 @@ from vertexloom.lineage import cut
 from vertexloom.llm.common import arrow_batches, shield
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose proposals the trees learn from, about.
-SAMPLE_DOCS = 20_000
+#: One document in this many sets thresholds instead of being learned from.
+HELD_OUT = 4
 #: Share of proposals above a kind's threshold that must be right on the calibration fold.
 PRECISION = 0.98
 TREES, DEPTH = 30, 5
@@ -200,29 +202,36 @@ def _tree(node) -> tuple | float:  # noqa: ANN001
     return int(split.featureIndex()), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def learn(df: DataFrame, id_col: str, text_col: str) -> SpanModel | None:
-    """Fit trees and thresholds to the :func:`examples` of a bounded sample of documents, chosen by a hash of their ids.
-
-    A quarter of the documents sets the thresholds: a kind's is the least score above which
-    ``PRECISION`` of its examples there are right, from counts by steps of the score. Without
-    right and wrong examples there is no model.
-    """
-    count = df.count()
-    fraction = min(1.0, SAMPLE_DOCS / max(count, 1))
-    order = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 50))
-    sample = df.filter(order < int((1 << 50) * fraction)).select(F.col(text_col).alias("text"), order.alias("o")).filter("text is not null")
+def gathered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``apart, kind, label, x, n``: how often each of the :func:`examples` occurs in all texts; ``apart`` by a hash of the ids."""
+    apart = F.pmod(F.xxhash64(F.col(id_col)), F.lit(HELD_OUT)) == 0
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = [(o, *e) for text, o in zip(pdf["text"], pdf["o"], strict=True) for e in examples(text)]
-            yield pd.DataFrame(out, columns=["o", "kind", "label", "x"])
+            met = Counter((a, kind, label, tuple(x)) for text, a in zip(pdf["text"], pdf["apart"], strict=True) for kind, label, x in examples(text))
+            yield pd.DataFrame([(*key, n) for key, n in met.items()], columns=["apart", "kind", "label", "x", "n"])
+
+    texts = df.select(F.col(text_col).alias("text"), apart.alias("apart")).filter("text is not null")
+    met = texts.mapInPandas(rows, "apart boolean, kind int, label double, x array<float>, n long")
+    return met.groupBy("apart", "kind", "label", "x").agg(F.sum("n").alias("n"))
 
-    found = cut(sample.mapInPandas(rows, "o long, kind int, label double, x array<double>"))
-    train = found.filter("o % 4 <> 0").orderBy("o", "x")
-    if train.select("label").distinct().count() < 2:
+
+def learn(df: DataFrame, id_col: str, text_col: str) -> SpanModel | None:
+    """Fit trees and thresholds to the :func:`examples` of all documents.
+
+    Equal examples are one row with a weight. The trees may have as many bins as make Spark ML
+    look for cuts in all rows instead of drawn ones. One document in ``HELD_OUT`` sets the
+    thresholds: a kind's is the least score above which ``PRECISION`` of its examples there are
+    right, from counts by steps of the score. Without right and wrong examples there is no model.
+    """
+    found = cut(gathered(df, id_col, text_col))
+    train = found.filter("not apart").select("label", "x", "n").orderBy("x", "label", "n")
+    about = train.agg(F.count("*").alias("rows"), F.countDistinct("label").alias("labels")).first()
+    if about.labels < 2:
         return None
-    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, featuresCol="f").fit(
-        train.select("label", array_to_vector("x").alias("f"))
+    bins = max(32, math.isqrt(about.rows) + 1)
+    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, stepSize=0.3, seed=7, featuresCol="f", weightCol="n").fit(
+        train.select("label", "n", array_to_vector("x").alias("f"))
     )
     weights = list(fitted.treeWeights)
     trees = [(float(w), _tree(t._call_java("rootNode"))) for w, t in zip(weights, fitted.trees, strict=True)]
@@ -233,7 +242,11 @@ def learn(df: DataFrame, id_col: str, text_col: str) -> SpanModel | None:
         return pd.Series(np.floor(model.probabilities(list(x)) * STEPS).astype(np.int32))
 
     counted = (
-        found.filter("o % 4 = 0").select("kind", "label", step("x").alias("step")).groupBy("kind", "step").agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect()
+        found.filter("apart")
+        .select("kind", "label", "n", step("x").alias("step"))
+        .groupBy("kind", "step")
+        .agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n"))
+        .collect()
     )
     return SpanModel(trees, tuple(_threshold([(r.step, r.right, r.n) for r in counted if r.kind == k]) for k in range(len(KINDS))))
 
