@@ -542,21 +542,26 @@ def drop_near_duplicates(
     # Equal sets are one: the others are linked to that of the smallest id and left out of the search.
     least = prints.groupBy("same").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("same", "a")
     equal = cut(prints.select("same", F.col("id").alias("b")).join(least, "same").filter("a <> b").select("a", "b").distinct())
-    linked = first.unionByName(equal)
     rows = prints.join(small(equal.select(F.col("b").alias("id"))), "id", "left_anti")
+    parts = cut(connected_components(first.unionByName(equal)).toDF("id", "component"))
 
     def in_parts(texts: DataFrame) -> DataFrame:
-        named = texts.join(small(connected_components(linked).toDF("id", "component")), "id", "left")
-        return named.withColumn("part", F.coalesce("component", "id")).drop("component")
+        return texts.join(small(parts), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
 
-    met = _meetings(in_parts(rows))
+    met = _apart(_meetings(in_parts(rows)))
+    before = None
     for search in (*[_star_pairs] * STARS, _all_pairs):
-        met = _apart(in_parts(met.drop("part", "texts")))
+        if search is before:
+            continue  # nothing was linked by it, so it would find the same pairs
         if search is _all_pairs:
             met = met.join(rows.select("id", "folded"), "id")
-        pairs = cut(_like_sketches(cut(search(met, similarity)), rows, similarity))
-        linked = cut(linked.unionByName(alike(pairs)))
+        found = alike(cut(_like_sketches(cut(search(met, similarity)), rows, similarity)))
         arrow_batches(spark, NUMBER_ROWS)
-    parts = connected_components(linked)
-    gone = small(cut(parts.filter("node <> component").select(F.col("node").alias("id"))))
+        before = search
+        if not found.isEmpty():
+            before = None
+            parts = cut(connected_components(parts.toDF("a", "b").unionByName(found)).toDF("id", "component"))
+            if search is not _all_pairs:
+                met = _apart(in_parts(met.drop("part", "texts")))
+    gone = small(parts.filter("id <> component").select("id"))
     return inner.withColumn("id", doc).join(gone, "id", "left_anti").select(*restored)
