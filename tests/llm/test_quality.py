@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from vertexloom.lineage import cut
 from vertexloom.llm import quality
 
 SF = "/root/testdata/sf0.01"
@@ -104,3 +105,23 @@ def test_defined_cases(spark):
     untrusted = quality.quality_verdicts(df, labels.limit(0)).collect()
     assert {r.doc_id for r in untrusted if r.accepted} == {1, 4, 5}
     assert quality.quality_verdicts(df.limit(0), labels).collect() == []
+
+
+def test_small_tables_do_not_shuffle_what_is_asked(spark, monkeypatch):
+    texts = ["the cat sat on the mat. " * 3, "a cat and a hat, the end"]
+    model = quality.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    grams = spark.createDataFrame([(g,) for t in texts + ["unseen words"] for _, some, _ in quality.ngrams([t]) for g in some], "gram string").distinct()
+    dealt = cut(grams).repartition(4, "gram")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = quality.probabilities(dealt, model)
+        rows = sorted(few.collect())
+        plan = few._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastHashJoin") == 2 * quality.ORDER - 1
+        monkeypatch.setattr(quality, "TABLE_ROWS", 0)
+        many = quality.probabilities(dealt, model)
+        assert sorted(many.collect()) == rows
+        plan = many._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("REPARTITION_BY") == 1 and "hashpartitioning(tail" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

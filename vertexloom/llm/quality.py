@@ -27,6 +27,8 @@ STEPS = 1000
 PRIOR = 40
 #: Bytes of text, about, that ask for their n-grams' probabilities together.
 BUCKET_BYTES = 32_000_000
+#: Rows of a table of the model (some 100 bytes each) that may be broadcast; larger ones meet the n-grams in a shuffle.
+TABLE_ROWS = 300_000
 #: Most buckets whose questions for one n-gram are one row.
 TOGETHER = 1000
 #: Characters coded at once.
@@ -176,16 +178,17 @@ def probabilities(asked: DataFrame, model: NGramTables) -> DataFrame:
     """``asked`` (``gram`` and other columns) with ``log_p``: the log probability of the last character after the others.
 
     Count joins for each order, the longest first: the n-gram meets its share, and its context
-    the weight with which the next shorter n-gram comes in.
+    the weight with which the next shorter n-gram comes in. Tables counted to be small are
+    broadcast, and the longest n-grams are met as they lie, so that few joins shuffle ``asked``.
     """
     others = asked.columns
     met = asked.withColumns({"p": F.lit(0.0), "room": F.lit(1.0)})
     for order in range(ORDER, 0, -1):
-        tail = F.substring("gram", ORDER - order + 1, order)
-        met = met.withColumn("tail", tail).join(model.shares[order].withColumnRenamed("gram", "tail"), "tail", "left")
+        tail = F.substring("gram", ORDER - order + 1, order) if order < ORDER else F.col("gram")
+        met = met.withColumn("tail", tail).join(small(model.shares[order].withColumnRenamed("gram", "tail"), TABLE_ROWS), "tail", "left")
         met = met.withColumn("p", F.col("p") + F.col("room") * F.coalesce("share", F.lit(0.0)))
         if order > 1:
-            met = met.withColumn("context", F.substring("tail", 1, order - 1)).join(model.weights[order], "context", "left")
+            met = met.withColumn("context", F.substring("tail", 1, order - 1)).join(small(model.weights[order], TABLE_ROWS), "context", "left")
             met = met.withColumn("room", F.col("room") * F.coalesce("weight", F.lit(1.0)))
         met = met.select(*others, "p", "room")
     return met.select(*others, F.log(F.col("p") + F.col("room") * F.lit(model.floor)).cast("float").alias("log_p"))
