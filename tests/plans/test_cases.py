@@ -87,3 +87,24 @@ def test_busy_place(spark):
     assert got == sorted(want) and len(got) >= 100
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "(place_id" in plan and "stretch" in plan.split("Join Inner")[1].split("\n")[0]
+
+
+def test_requests_meet_cases_by_time(spark):
+    """Many requests for what many cases hold, at other times: the joins must not make their pairs."""
+    n = 300
+    at = lambda k: T + dt.timedelta(hours=k)
+    pairs = "array<struct<propertyKey:string,propertyValue:string>>"
+    known = [(k, [("user", "A"), ("ip", f"{k % 2}")], [], at(30 * k), at(30 * k + k % 30), ["all"]) for k in range(n)]
+    known += [(n, [("user", "a"), ("ip", "1")], [], T, at(30 * n), ["all"]), (n + 1, [("user", "a"), ("ip", "0")], [], at(9), at(5), ["m"])]
+    asked = [(k, [("USER".lower(), "a"), ("ip", f"{k % 2}")], at(30 * k + k % 7), at(30 * k + k % 11), ["m"]) for k in range(n)]
+    held = spark.createDataFrame(known, f"case_id long, query {pairs}, nodes array<struct<node_id:long,property:string,value:string>>, query_start timestamp_ntz, query_end timestamp_ntz, datasources array<string>")
+    requests = spark.createDataFrame(asked, f"request_id long, query {pairs}, query_start timestamp_ntz, query_end timestamp_ntz, datasources array<string>")
+    want = {(r, c) for r, query, start, end, _ in asked for c, own, _, low, high, _ in known if query[1] == own[1] and low <= start and high >= end}
+    found = cases.covered_requests(held, requests)
+    got = [tuple(x) for x in found.collect()]
+    assert set(got) == want and len(got) == len(want) > n // 2 and any(asked[r][2] > asked[r][3] for r, _ in got)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.split("\n") if "Join Inner" in line)
+    assert all(x in join for x in ("asks", "stretch", "case_start", "request_end", "request_sources"))
+    zoned = lambda df: df.withColumns({c: df[c].cast("timestamp") for c in ("query_start", "query_end")})
+    assert {tuple(x) for x in cases.covered_requests(zoned(held), zoned(requests)).collect()} == want

@@ -10,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.lineage import ensure_checkpoint_dir
+from vertexloom.lineage import ensure_checkpoint_dir, small  # noqa: F401  small() is taken from here by the operators
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: Rows of ids (8 bytes and some overhead each) that may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -36,11 +34,6 @@ def shield(df: DataFrame) -> tuple[DataFrame, Callable[[str], Column], list[Colu
     return inner, lambda name: F.col(f"in_{names.index(name)}"), [F.col(f"in_{i}").alias(n) for i, n in enumerate(names)]
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def arrow_batches(spark: SparkSession, rows: int = 500, megabytes: int = 4) -> None:
     """Bound the Arrow batches that Python workers get, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

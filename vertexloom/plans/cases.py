@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.lineage import cut, small
+
 SLACK = "30 seconds"
 
 
@@ -65,6 +67,26 @@ def _pairs(items: str, key: str, value: str) -> Column:
     return F.transform(F.coalesce(items, F.array()), lambda x: F.struct(x[key].alias("k"), F.lower(x[value]).alias("v")))
 
 
+#: Pairs of property and value that may be broadcast, which are counted first; more are shuffled.
+BROADCAST_PAIRS = 100_000
+
+
+def _second(at: str, kind: str) -> Column:
+    """Whole seconds of a time column since 1970, in no zone if it has none."""
+    since = F.col(at).cast(kind) - F.lit("1970-01-01").cast(kind)
+    part = lambda name: F.extract(F.lit(name), since)
+    return F.floor(part("DAY").cast("bigint") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")).cast("bigint")
+
+
+def _level(low: Column, high: Column) -> Column:
+    """Stretches of time of two to this power seconds: a time range touches two of them at most."""
+    return F.ceil(F.log2(high - low + 1)).cast("int")
+
+
+def _stretch(second: Column, level: Column) -> Column:
+    return F.floor(second / F.pow(F.lit(2.0), level)).cast("bigint")
+
+
 def covered_requests(cases: DataFrame, requests: DataFrame) -> DataFrame:
     """``request_id, case_id``: for each of many requests the cases that already hold its export, as :func:`covering_cases` says.
 
@@ -72,27 +94,48 @@ def covered_requests(cases: DataFrame, requests: DataFrame) -> DataFrame:
     query_end, datasources (array). ``cases``: case_id, query, nodes, query_start, query_end,
     datasources.
 
-    A join by containment of sets. All pairs of property and value are counted over the cases;
-    a request meets the cases only under the rarest of its pairs, and a case covers it if it
-    has as many of its pairs as it asks for. A pair that no case has rules its request out
-    before any join. Defined cases: letters of values may differ in case; a pair asked for
-    twice counts once; a request without pairs, or with a null in one, is covered by none.
+    A join by containment of sets, then one by time. Requests that ask for the same pairs of
+    property and value are one set. All pairs are counted over the cases; a set meets the
+    cases only under the rarest of its pairs, and the join itself compares the others. A pair
+    that no case has rules its set out before any join. A case then lies in the stretches of
+    time that it touches, of a length of its own size, and meets the requests for its sets
+    that begin there; the join itself compares times and sources, so only results leave it.
+    Defined cases: letters of values may differ in case; a pair asked for twice counts once;
+    a request without pairs, or with a null in one, is covered by none.
     """
-    held = cases.select("case_id", F.explode(F.array_distinct(F.concat(_pairs("query", "propertyKey", "propertyValue"), _pairs("nodes", "property", "value")))).alias("p")).select("case_id", "p.*")
-    asked = requests.select("request_id", F.array_distinct(_pairs("query", "propertyKey", "propertyValue")).alias("pairs"))
-    asked = asked.select("request_id", F.size("pairs").alias("need"), F.explode("pairs").alias("p")).select("request_id", "need", "p.*")
-    counts = held.join(asked.select("k", "v").distinct(), ["k", "v"], "left_semi").groupBy("k", "v").agg(F.count("*").alias("n"))
-    known = asked.join(counts, ["k", "v"])
-    possible = known.groupBy("request_id", "need").agg(F.count("*").alias("found"), F.min(F.struct("n", "k", "v")).alias("rarest")).filter("found = need")
-    wide = lambda df, side: df.select(F.col(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in ("query_start", "query_end", "datasources")])
-    met = possible.select("request_id", "need", "rarest.k", "rarest.v").join(held, ["k", "v"]).select("request_id", "need", "case_id")
-    met = met.join(wide(requests, "request"), "request_id").join(wide(cases, "case"), "case_id")
-    inside = (F.col("case_query_start") <= F.col("request_query_start")) & (F.col("case_query_end") >= F.col("request_query_end"))
-    sources = (F.size(F.array_except("request_datasources", "case_datasources")) == 0) | F.array_contains("case_datasources", "all")
-    met = met.filter(inside & sources).select("request_id", "need", "case_id")
-    alone = met.filter("need = 1").select("request_id", "case_id")
-    more = met.filter("need > 1").join(asked.drop("need"), "request_id").join(held, ["case_id", "k", "v"], "left_semi")
-    return alone.unionByName(more.groupBy("request_id", "case_id", "need").agg(F.count("*").alias("found")).filter("found = need").select("request_id", "case_id"))
+    times = [t for df in (cases, requests) for n, t in df.dtypes if n in ("query_start", "query_end")]
+    kind = "timestamp" if "timestamp" in times else "timestamp_ntz"
+    spans = lambda side: [F.col("query_start").alias(f"{side}_start"), F.col("query_end").alias(f"{side}_end"), F.col("datasources").alias(f"{side}_sources")]
+    low, high = _second("query_start", kind).alias("low"), _second("query_end", kind).alias("high")
+
+    asked = requests.select("request_id", *spans("request"), low, high, F.array_sort(F.array_distinct(_pairs("query", "propertyKey", "propertyValue"))).alias("pairs"))
+    asked = asked.filter((F.size("pairs") > 0) & F.forall("pairs", lambda p: p["k"].isNotNull() & p["v"].isNotNull())).withColumn("asks", F.to_json("pairs"))
+    sets = cut(asked.select("asks", "pairs").distinct())
+    each = sets.select("asks", F.explode("pairs").alias("p")).select("asks", "p.*")
+    held = cases.select("case_id", *spans("case"), low, high, F.array_distinct(F.concat(_pairs("query", "propertyKey", "propertyValue"), _pairs("nodes", "property", "value"))).alias("held"))
+    counted = held.select(F.explode("held").alias("p")).select("p.*").join(small(each.select("k", "v").distinct(), BROADCAST_PAIRS), ["k", "v"], "left_semi")
+    counts = counted.groupBy("k", "v").agg(F.count("*").alias("n"))
+    known = each.join(counts, ["k", "v"]).groupBy("asks").agg(F.count("*").alias("found"), F.min(F.struct("n", "k", "v")).alias("rarest"))
+    possible = cut(sets.join(known, "asks").filter(F.col("found") == F.size("pairs")).select("asks", "pairs", "rarest.k", "rarest.v"))
+
+    at = held.withColumn("p", F.explode("held")).select("*", "p.*").drop("p").join(small(possible.select("k", "v").distinct(), BROADCAST_PAIRS), ["k", "v"], "left_semi")
+    others = F.forall("pairs", lambda p: F.array_contains("held", p))
+    met = at.join(possible, (at["k"] == possible["k"]) & (at["v"] == possible["v"]) & others)
+    met = cut(met.select("asks", "case_id", "case_start", "case_end", "case_sources", "low", "high", _level(F.col("low"), F.col("high")).alias("level")))
+
+    # A request whose end is before its begin has no stretch, and meets all cases that hold its set.
+    levels = sorted(r.level for r in met.filter("low <= high").select("level").distinct().collect())
+    place = lambda level, stretch: F.struct(F.lit(level).cast("int").alias("level"), F.lit(stretch).cast("bigint").alias("stretch"))
+    nowhere = F.array(place(-1, 0))
+    own = F.col("level")
+    touched = F.transform(F.sequence(_stretch(F.col("low"), own), _stretch(F.col("high"), own)), lambda s: place(own, s))
+    there = met.select("asks", "case_id", "case_start", "case_end", "case_sources", F.explode(F.when(F.col("low") <= F.col("high"), F.concat(touched, nowhere)).otherwise(nowhere)).alias("x"))
+    begins = F.filter(F.array(*[place(n, _stretch(F.col("low"), F.lit(n))) for n in levels]).cast("array<struct<level:int,stretch:bigint>>"), lambda x: x["level"] >= _level(F.col("low"), F.col("high")))
+    here = asked.select("asks", "request_id", "request_start", "request_end", "request_sources", F.explode(F.when(F.col("low") <= F.col("high"), begins).otherwise(nowhere)).alias("x"))
+    inside = (F.col("case_start") <= F.col("request_start")) & (F.col("case_end") >= F.col("request_end"))
+    sources = (F.size(F.array_except("request_sources", "case_sources")) == 0) | F.array_contains("case_sources", "all")
+    placed = lambda df: df.select("*", "x.*").drop("x")
+    return placed(here).join(placed(there), ["asks", "level", "stretch"]).filter(inside & sources).select("request_id", "case_id")
 
 
 def arrivals(raw: DataFrame, key: str, time_col: str, source_col: str) -> DataFrame:
