@@ -78,3 +78,19 @@ def test_hop_is_right_without_broadcast(spark, graph, stored):
         assert rows(nested_ego(stored, start, 1)) == rows(Traversal(graph, start).both().project("id"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_more_shuffle_partitions_than_buckets(spark, graph, tmp_path):
+    names = {"spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        few = store_adjacency(graph, "nested_few", str(tmp_path / "adjacency"), 2)
+        start = spark.createDataFrame([(n,) for n in (1, 7, 50)], "node_id long")
+        plan = few.join(start.distinct(), "node_id", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # that of the frontier only
+        assert rows(nested_ego(few, start, 2)) == rows(Traversal(graph, start).both().both().project("id"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

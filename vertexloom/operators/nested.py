@@ -18,11 +18,15 @@ BUCKETS = 64
 def store_adjacency(graph: Graph, table: str, path: str, buckets: int = BUCKETS) -> DataFrame:
     """Write the nested rows of a graph as a table in buckets by vertex, sorted, and read it.
 
-    A hub has several rows of bounded size (see :func:`adjacency`), all in one bucket.
+    A hub has several rows of bounded size (see :func:`adjacency`), all in one bucket. There
+    are as many buckets as the session has shuffle partitions at least: of fewer, Spark would
+    shuffle the rows in every join instead of reading them by bucket.
     """
-    rows = adjacency(graph).repartition(buckets, "node_id")  # as many files as buckets
-    rows.write.bucketBy(buckets, "node_id").sortBy("node_id").option("path", path).mode("overwrite").saveAsTable(table)
-    return graph.edges.sparkSession.table(table)
+    spark = graph.edges.sparkSession
+    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = adjacency(graph, buckets)  # dealt by vertex as the buckets are: as many files
+    rows.write.bucketBy(buckets, "node_id").sortBy("node_id").option("path", path).option("compression", "zstd").mode("overwrite").saveAsTable(table)
+    return spark.table(table)
 
 
 def _tagged(side: str, keep: Callable) -> Column:
@@ -42,7 +46,8 @@ def nested_ego(stored: DataFrame, starts: DataFrame, hops: int, direction: str =
     for n in range(1, hops + 1):
         at = stored.join(front, "node_id", "left_semi")
         sides = [_tagged(side, keep) for side in ("out", "in") if direction in (side, "both")]
-        found = cut(at.select("node_id", F.explode(F.concat(*sides)).alias("x")).select("node_id", "x.direction", "x.e.*", F.lit(n).alias("lvl")))
+        found = at.select("node_id", F.explode(F.concat(*sides)).alias("x")).select("node_id", "x.direction", "x.e.*", F.lit(n).alias("lvl"))
+        found = cut(found) if n < hops else found  # nothing goes on from the last level, the largest
         levels.append(found)
         front = found.select(F.col("other_id").alias("node_id")).distinct()
     out = F.col("direction") == "out"
