@@ -94,3 +94,17 @@ def test_more_shuffle_partitions_than_buckets(spark, graph, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_edge_list_of_whole_rows_is_not_compared(spark):
+    links = [("a", 1, 2), ("b", 2, 1), ("c", 1, 1), ("d", 9, 2), ("e", None, 1), ("f", 1, 3)]  # 9 is no vertex, neither is null
+    edges = spark.createDataFrame([(i, x, y, "x", {}, None, None) for i, x, y in links], EDGES)
+    some = g.Graph(spark.createDataFrame([(n, "n", {}) for n in (1, 2, 3)], "node_id long, label string, properties map<string,array<string>>"), edges)
+    listed = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert [r.node_id for r in g.unlisted_sources(some).orderBy("node_id").collect()] == [None, 9]
+    found = g.edges_of_adjacency(g.adjacency(some), g.unlisted_sources(some))
+    assert listed(found) == listed(g.edges_of_adjacency(g.adjacency(some))) == sorted(((*x, "x") for x in links), key=str)
+    whole = g.Graph(some.vertices, edges.filter("src_id < 9"))
+    found = g.edges_of_adjacency(g.adjacency(whole), g.unlisted_sources(whole))
+    assert listed(found) == sorted(((*x, "x") for x in links if x[1] in (1, 2)), key=str)
+    assert "hashpartitioning(edge_id" not in found._jdf.queryExecution().executedPlan().toString()
